@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import leakage, mixing, sessions, spans
+from sediment.llm import leakage, mixing, neighbours, pii, sessions, spans
 from sediment.sources.tables import table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda name, column: table(spark, d, name).select(F.lit(name).alias("tbl"), F.lower(F.trim("id")).alias("rec_id"), F.col(column).alias("text"))
+    return one("conversations", "content").unionByName(one("triples", "object_value"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    # a record stored again gives the same rows
+    return pii.find_pii(_texts(spark, d), table(spark, d, "short_names")).drop("end_pos").distinct()
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    """All messages and literal facts with typed placeholders."""
+    return pii.mask_pii(_texts(spark, d), table(spark, d, "short_names"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda name, column: table(spark, d, name).select(F.lit(name).alias("tbl"), F.lower(F.trim("id")).alias("id"), F.col(column).alias("vec"))
+    return one("entities", "embedding").unionByName(one("clusters", "centroid"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    probes = table(spark, d, "vector_probes").select(F.col("vec_table").alias("tbl"), F.lower(F.trim("vec_id")).alias("id"))
+    return neighbours.nearest(_vectors(spark, d), probes).select(F.col("tbl").alias("vec_table"), F.col("id").alias("vec_id"), "neighbour_id")
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every usable vector."""
+    return neighbours.nearest(_vectors(spark, d), None).select(F.col("tbl").alias("vec_table"), F.col("id").alias("vec_id"), "neighbour_id", F.round("sim", 4).alias("sim"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sessions.session_defects(table(spark, d, "conversations")).withColumnRenamed("sid", "session_id")
 
@@ -63,7 +93,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return found.join(size, "id").select(F.col("id").alias("doc_id"), "n_spans", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_conversations, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_coverage)}
 
 _ROLE = "CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'unknown' END"
 
