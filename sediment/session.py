@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,20 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sediment_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    to = os.path.join(tempfile.mkdtemp(), "sediment.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("sediment", os.path.relpath(path, root)))
+    sc.addPyFile(to)
+    sc._sediment_shipped = True
