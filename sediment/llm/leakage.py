@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.functions.strings import within_one_edit
+
 #: A page header standing alone (running title with a page number, or a copy's stamp), a word broken at a line's end, punctuation.
 HEADER = re.compile(r"\n[^\S\n]*(?:[^\n|]{1,60}\|[^\n|]{1,60}\|[^\n]{0,6}\d+|Copy \d+ [–-] \d+|[–-] ?\d+ ?[–-])[^\S\n]*(?=\n)")
 BROKEN = re.compile(r"(?<=\w)(?:-|­)[^\S\n]*\n\s*(?=[^\W\d_])")
@@ -25,25 +27,14 @@ PUNCT = re.compile(r"[^\w\s]|_")
 CONFUSED = (("ri", "n"), ("rn", "m"), ("0", "o"), ("1", "l"), ("5", "s"))
 
 
-def _near(a: str, b: str) -> bool:
-    """Within one edit: replaced, inserted, left out, or two neighbours swapped."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < len(a) and i < len(b) and a[i] == b[i]:
-        i += 1
-    x, y = a[i:], b[i:]
-    return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and x[2:] == y[2:])
-
-
 @lru_cache(100_000)
 def misread(a: str, b: str) -> bool:
     """Whether ``b`` can be ``a`` misread: one edit apart, or the same up to letters that scanning confuses."""
-    if _near(a, b):
+    if within_one_edit(a, b):
         return True
     for old, new in CONFUSED:
         a, b = a.replace(old, new), b.replace(old, new)
-    return _near(a, b)
+    return within_one_edit(a, b)
 
 
 def words_of(text: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import leakage, mixing, neighbours, pii, sessions, spans
+from sediment.llm import leakage, mixing, names, neighbours, pii, sessions, spans
 from sediment.sources.tables import table
 
 
@@ -47,6 +47,21 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return sessions.conversations(table(spark, d, "conversations")).withColumnRenamed("sid", "session_id")
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "entities").select(F.lower(F.trim("id")).alias("id"), "name", "entity_type")
+    return names.link_names(e, table(spark, d, "short_names"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.linked_pairs(_groups(spark, d))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each id with the smallest id that means the same."""
+    g = _groups(spark, d)
+    return g.join(g.groupBy("grp").agg(F.min("id").alias("group_id"), F.count("*").alias("n_ids")), "grp").select("id", "group_id", "n_ids")
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -93,7 +108,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return found.join(size, "id").select(F.col("id").alias("doc_id"), "n_spans", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p7_found, p7_groups, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_coverage)}
 
 _ROLE = "CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'unknown' END"
 
