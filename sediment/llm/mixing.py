@@ -32,8 +32,8 @@ def sainte_lague(weights: Mapping[str, float], seats: int, capacity: Mapping[str
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``n_tokens`` in place of ``text``: whole texts through a byte-pair vocabulary of ranks. A null text has 0."""
-    keep = [c for c in docs.columns if c != "text"]
+    """``docs`` with ``n_tokens`` in place of ``text``: whole texts through a byte-pair vocabulary of ranks. A null text has 0; a column named ``n_tokens`` is replaced."""
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -45,7 +45,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm import leakage, mixing, names, neighbours, pii, sessions, spans
-from sediment.sources.tables import table
+from sediment.sources.tables import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda name, column: table(spark, d, name).select(F.lit(name).alias("tbl"), F.lower(F.trim("id")).alias("rec_id"), F.col(column).alias("text"))
+    one = lambda name, column: spread(table(spark, d, name).select(F.lit(name).alias("tbl"), F.lower(F.trim("id")).alias("rec_id"), F.col(column).alias("text")))
     return one("conversations", "content").unionByName(one("triples", "object_value"))
 
 
@@ -63,7 +63,7 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers as P
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text"))
     return mixing.count_tokens(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
