@@ -8,13 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.text import tokens
-from sediment.session import small_side
+from sediment.session import cut, small_side
 
 
-def postings(docs: DataFrame, tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``docs``: ``id``, ``text``. One row for each document and term: ``id``, ``term``, ``tf``, ``dl``. Texts without terms have none; nulls count as empty."""
-    toks = docs.select("id", tokenise(F.coalesce("text", F.lit(""))).alias("_t")).withColumn("dl", F.size("_t"))
-    return toks.select("id", "dl", F.explode("_t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, tokenise: Callable[[Column], Column] = tokens, only: DataFrame | None = None) -> DataFrame:
+    """``docs``: ``id``, ``text``. One row for each document and term: ``id``, ``term``, ``tf``, ``dl``. With ``only`` (``term``, small) for these terms alone.
+    Texts without terms have none; nulls count as empty."""
+    toks = docs.select("id", tokenise(F.coalesce("text", F.lit(""))).alias("_t"))
+    rows = toks.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
+    return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def term_stats(docs: DataFrame, tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
+    """In one pass ``term`` and ``df``; the row of the null term has the number of documents as ``df`` and all tokens as ``total``."""
+    toks = docs.select(tokenise(F.coalesce("text", F.lit(""))).alias("_t"))
+    none = F.struct(F.lit(None).cast("string").alias("term"), F.size("_t").alias("dl"))
+    each = F.transform(F.array_distinct("_t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl")))
+    return toks.select(F.explode(F.array_append(each, none)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("total"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, variant: str = "okapi", tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
@@ -23,25 +35,29 @@ def bm25(docs: DataFrame, queries: DataFrame, variant: str = "okapi", tokenise:
     ``docs``: ``id``, ``text``; ``queries``: ``qid``, ``text``. ``okapi``: k1 1.5, b 0.75, negative idf replaced by a quarter of the mean idf;
     ``plus``: idf ln((N + 1) / n), same k1 and b; ``fts``: k1 1.2. A query's repeated terms count repeatedly. The mean length
     counts empty documents. Null texts are empty; empty documents, queries or tables give no rows.
+
+    Two passes over the texts: statistics of all terms, which are combined before the shuffle, and the postings of the
+    queries' terms, which are cut down to these terms before they are counted.
     """
     k1, b = (1.2 if variant == "fts" else 1.5), 0.75
-    post = postings(docs, tokenise)
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    stats = n_docs.crossJoin(F.broadcast(total)).withColumn("avgdl", F.col("total") / F.col("n_docs"))  # one row by one row
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    vocabulary = cut(term_stats(docs, tokenise))
+    whole = vocabulary.where("term is null").first()
+    n_docs, avgdl = (whole.df, max(whole.total / whole.df, 1e-9)) if whole else (0, 1.0)
+    df, n = F.col("df"), F.lit(float(n_docs))
+    terms = vocabulary.where("term is not null")
     if variant == "plus":
-        idf = df.withColumn("idf", F.log((F.col("n_docs") + 1) / F.col("df")))
+        idf = F.log((n + 1) / df)
     elif variant == "fts":
-        idf = df.withColumn("idf", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)))
+        idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     else:
-        raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.agg((F.avg("raw") * 0.25).alias("floor"))
-        idf = raw.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")))
+        raw = F.log(n - df + 0.5) - F.log(df + 0.5)
+        floor = (terms.agg(F.avg(raw)).first()[0] or 0.0) * 0.25
+        idf = F.when(raw < 0, F.lit(floor)).otherwise(raw)
     asked = queries.select("qid", F.explode(tokenise(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = small_side(asked.join(idf.select("term", "idf", "avgdl"), "term"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return post.join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+    asked = cut(asked.join(terms.select("term", idf.alias("idf")), "term"))
+    post = postings(docs, tokenise, small_side(asked.select("term").distinct()))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return post.join(small_side(asked), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:

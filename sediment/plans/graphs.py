@@ -10,7 +10,7 @@ from sediment.functions.text import render_fact
 from sediment.operators import compression, consolidation, dense, evaluation, graph, retrieval, spectral, temporal
 from sediment.operators.lexical import bm25, top_k
 from sediment.plans.base import AT, NOW, E, Q, T, TOKENS, asked, entities, triples
-from sediment.sources.tables import table
+from sediment.sources.tables import spread, table
 
 
 def _value() -> object:
@@ -139,7 +139,7 @@ def metric_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     """Two lexical runs over the documents, score by score."""
-    docs, q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark)
+    docs, q = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark)
     a, b = (top_k(bm25(docs, q, v).withColumn("score", F.round("score", 9)), 20) for v in ("okapi", "plus"))
     c = evaluation.compare(a, b, ["qid", "id"], "score")
     return c.select("qid", "id", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"), F.round("delta", 6).alias("delta"), "state")
@@ -158,7 +158,7 @@ def recall_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_stage1(spark: SparkSession, d: str) -> DataFrame:
     """Okapi scores of documents as dense evidence fused with plus scores as lexical evidence."""
-    docs, q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark)
+    docs, q = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark)
     f = retrieval.stage1(bm25(docs, q), bm25(docs, q, "plus")).withColumn("score", F.round("score", 9))
     return top_k(f, 20).select("qid", "id", F.round("score", 6).alias("score"), "pos")
 

@@ -10,11 +10,11 @@ from sediment.operators import consolidation, ingest, retrieval, temporal
 from sediment.operators.lexical import bm25, top_k
 from sediment.plans.base import AT, M, NOW, Q, TOKENS, asked, entities, messages, triples
 from sediment.sources import archive, store
-from sediment.sources.tables import table
+from sediment.sources.tables import spread, table
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _ascii(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    t = spread(table(spark, d, "documents").select("text")).select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -48,7 +48,7 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
+    w = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
     return w.select("doc_id", "w.start", F.md5("w.text").alias("text_md5"))
 
 
@@ -129,7 +129,7 @@ def fts_search(spark: SparkSession, d: str) -> DataFrame:
 
 def window_bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Sentence windows of documents ranked, their scores collapsed to the document's largest."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
+    w = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
     w = w.select(F.concat_ws("#", "doc_id", "w.start").alias("id"), F.col("doc_id").alias("parent"), F.col("w.text").alias("text"))
     scores = retrieval.collapse(bm25(w, asked(spark)), w).withColumn("score", F.round("score", 9))
     return _rounded(top_k(scores, 10, tie="parent"))
@@ -245,7 +245,7 @@ SQL = {
     "competition_ranks": "SELECT court, doc_id, CAST(rank() OVER (PARTITION BY court ORDER BY n_chars DESC) AS INTEGER) AS rank FROM documents",
     "resolve_entities": f"""WITH {M}, {_ASCII}, n AS (SELECT lower(trim(unnest(list_concat(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), regexp_extract_all(content, '"([^"]+)"', 1))))) AS k, ts FROM a),
  n2 AS (SELECT k, min(ts) AS ts FROM n WHERE length(k) > 2 AND trim(k) <> '' GROUP BY k),
- e AS (SELECT lower(trim(name)) AS k, arg_min(entity_type, ROW(created_at, lower(trim(id)))) AS entity_type, min(created_at) AS c FROM (SELECT DISTINCT ON (lower(trim(id))) * FROM entities) WHERE trim(name) <> '' GROUP BY 1)
+ e AS (SELECT lower(trim(name)) AS k, entity_type, created_at AS c FROM (SELECT DISTINCT ON (lower(trim(id))) * FROM entities) WHERE trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY created_at, lower(trim(id))) = 1)
  SELECT coalesce(e.k, n2.k) AS name_key, e.entity_type, round(coalesce(e.c, n2.ts), 3) AS created_at, e.k IS NULL AS is_new FROM e FULL JOIN n2 ON e.k = n2.k""",
     "cooccurrence_pairs": f"""WITH {M}, {_ASCII}, l AS (SELECT id, {_FIRST} AS l FROM a), x AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l)
  SELECT least(p.x, r.x) AS a, greatest(p.x, r.x) AS b, count(*) AS n FROM x p JOIN x r ON p.id = r.id AND r.i > p.i AND r.i < p.i + 5 AND p.x <> r.x GROUP BY ALL""",

@@ -7,3 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if its files make fewer (small inputs in one file); larger inputs are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
