@@ -108,3 +108,72 @@ def recall_facts(facts: DataFrame, queries: DataFrame, now: float, k: int = 10,
     out = final_blend(kept, CANDIDATES[mode])
     out = out.withColumn("score", F.col("final") * decay(F.lit(now) - F.col("created_at"), F.col("access_count")) * F.coalesce("confidence", F.lit(1.0)))
     return top_k(out.select("qid", "id", "score"), k)
+
+
+# Words that mark a comparison, and words that carry no topic.
+COMPARING = ("compare", "compared", "comparison", "versus", "vs", "between", "difference", "both", "than")
+EMPTY = frozenset(
+    "a an the and or of to in on at by for from with about is are was were be been did do does has have had what which who whom whose when where why how that this these those it its their his her "
+    "compare compared comparison versus vs between difference both than than more most first last".split()
+)
+
+
+def query_mentions(text: Column) -> Column:
+    """What a query names: quoted texts, capitalised words (several in a row as one) and dotted or slashed words, in the order of these kinds, repeats left out."""
+    runs = F.regexp_extract_all(text, F.lit(r"\b([A-Z][\p{L}\p{N}_]+(?:\s+[A-Z][\p{L}\p{N}_]+)*)"), F.lit(1))
+    runs = F.transform(runs, lambda x: F.regexp_replace(x, rf"^(?i)(?:(?:{'|'.join(sorted(EMPTY))})\s+)+", ""))  # a sentence's first word is no part of a name
+    dotted = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_./-]+\.[\p{L}\p{N}_]+"), F.lit(0))
+    quotes = F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1))
+    return F.array_distinct(F.filter(F.concat(quotes, runs, dotted), lambda x: F.length(x) > 1))
+
+
+def query_facets(queries: DataFrame, most: int = 3) -> DataFrame:
+    """``qid``, ``facet`` (0: the query itself), ``text``, ``entity``: a query that compares two or more things is also asked once for each, with the words that are left as its focus."""
+    q = queries.select("qid", "text", F.filter(query_mentions(F.col("text")), lambda x: ~F.lower(x).isin(*EMPTY)).alias("_m"), tokens(F.col("text")).alias("_t"))
+    said = F.flatten(F.transform("_m", lambda m: tokens(m)))
+    focus = F.array_join(F.filter(F.array_except("_t", said), lambda x: ~x.isin(*EMPTY)), " ")
+    compares = F.arrays_overlap("_t", F.array(*map(F.lit, COMPARING))) & (F.size("_m") >= 2)
+    own = F.transform(F.slice("_m", 1, most), lambda m, i: F.struct((i + 1).alias("facet"), F.trim(F.concat_ws(" ", m, focus)).alias("text"), m.alias("entity")))
+    first = F.array(F.struct(F.lit(0).alias("facet"), F.col("text").alias("text"), F.lit(None).cast("string").alias("entity")))
+    return q.select("qid", F.explode(F.when(compares, F.concat(first, own)).otherwise(first)).alias("f")).select("qid", "f.*")
+
+
+def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """``qid``, ``id``: of each mention the entity whose name is it, else begins with it word by word; the more confident, more used, smaller id first."""
+    m = queries.select("qid", F.explode(query_mentions(F.col("text"))).alias("_m")).select("qid", F.lower("_m").alias("key"))
+    words = F.split(F.lower(F.trim("name")), " ")
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("key"), (i == F.size(words)).alias("whole"))))
+    e = entities.where("trim(name) <> ''").select("id", "confidence", "access_count", begins.alias("b")).select("id", "confidence", "access_count", "b.*")
+    best = F.max_by("id", F.struct("whole", "confidence", "access_count", F.negate(F.xxhash64("id"))))
+    return e.join(F.broadcast(m.distinct()), "key").groupBy("qid", "key").agg(best.alias("id")).select("qid", "id").distinct()
+
+
+def walk_scores(triples: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
+    """``starts``: ``qid``, ``id``. Open triples within ``depth`` steps of a query's entities: ``qid``, ``id``, ``score`` (confidence by depth, the best)."""
+    from sediment.session import cut
+
+    t = triples.where("valid_until is null")
+    ends = F.explode(F.array_distinct(F.array_compact(F.array("subject_id", "object_id"))))
+    links = t.select(F.col("id").alias("triple_id"), F.coalesce("confidence", F.lit(1.0)).alias("c"), "subject_id", "object_id", ends.alias("u"))
+    frontier = seen = starts.select("qid", F.col("id").alias("u")).distinct()
+    out = None
+    for d in range(1, depth + 1):
+        hit = cut(links.join(frontier, "u"))
+        step = hit.select("qid", F.col("triple_id").alias("id"), (F.col("c") / d).alias("score"))
+        out = step if out is None else out.unionByName(step)
+        if d < depth:
+            other = F.when(F.col("u") == F.col("subject_id"), F.col("object_id")).otherwise(F.col("subject_id"))
+            frontier = cut(hit.select("qid", other.alias("u")).where("u is not null").distinct().join(seen, ["qid", "u"], "left_anti"))
+            seen = seen.unionByName(frontier)
+    return out.groupBy("qid", "id").agg(F.max("score").alias("score"))
+
+
+def recall(entities: DataFrame, triples: DataFrame, facts: DataFrame, queries: DataFrame, now: float, k: int = 10, mode: str = "balanced", depth: int = 2) -> DataFrame:
+    """recall_facts with the graph around the entities that each query names as further evidence."""
+    return recall_facts(facts, queries, now, k, mode, walk_scores(triples, mentioned_entities(queries, entities), depth))
+
+
+def render(results: DataFrame) -> DataFrame:
+    """``results``: ``qid``, ``pos``, ``text``, ``score``, ``valid_until``. One text for each query."""
+    line = F.concat(F.col("pos").cast("string"), F.lit(". "), F.col("text"), F.format_string(" (%.3f)", "score"), F.when(F.col("valid_until").isNotNull(), " [SUPERSEDED]").otherwise(""))
+    return results.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))

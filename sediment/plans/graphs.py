@@ -156,6 +156,19 @@ def recall_facts(spark: SparkSession, d: str) -> DataFrame:
     return r.select("qid", "id", F.round("score", 6).alias("score"), "pos")
 
 
+def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Facts for queries that name entities: graph walk, BM25, reranking, decay."""
+    e, t = entities(spark, d), triples(spark, d)
+    first = e.where("entity_type = 'person'").groupBy().agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    q = first.select(F.lit(1).alias("qid"), F.concat(F.lit("which tools does "), F.col("a"), F.lit(" use")).alias("text")).union(first.select(F.lit(2), F.concat(F.lit("who manages "), F.col("b"))))
+    return retrieval.recall(e, t, _facts(spark, d), q, NOW).select("qid", "id", F.round("score", 6).alias("score"), "pos")
+
+
+def query_facets(spark: SparkSession, d: str) -> DataFrame:
+    q = spark.createDataFrame([(1, "compare Silver Falcon with Paper Kite on cost"), (2, "who owns Silver Falcon"), (3, 'difference between "seed catalogue" and Night Heron')], "qid int, text string")
+    return retrieval.query_facets(q)
+
+
 def hybrid_stage1(spark: SparkSession, d: str) -> DataFrame:
     """Okapi scores of documents as dense evidence fused with plus scores as lexical evidence."""
     docs, q = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark)
@@ -256,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         current_facts, as_of_facts, fact_history, scd2_facts, late_facts, contradictions, triple_pattern, list_entities, list_triples, orphans, touched_entities, duplicates, merge_entities,
-        superseded_counts, neighbours_3, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, hybrid_stage1, grouped_sessions, temporal_score,
+        superseded_counts, neighbours_3, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, recall_hybrid, query_facets, hybrid_stage1, grouped_sessions, temporal_score,
         adjacency, weighted_degree, laplacian_entries, decay_operator, spectral_gap, clusters, promote_repeated, dedup_triples, self_references, prune, decay_triples, consolidate,
         cluster_centroid, graph_stats, compress_l2, budget_report,
     )
