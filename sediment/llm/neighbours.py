@@ -161,7 +161,7 @@ def _centroids(sample: np.ndarray, k: int, seed: int = 11, rounds: int = 8) -> n
 
 
 def nearest(
-    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 4096, cells_probed: int = 12, beam: int = 48, sample_rows: int = 40_000
+    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 4096, cells_probed: int = 12, beam: int = 48, sample_rows: int = 40_000, query_type: str = "f4"
 ) -> DataFrame:
     """The ``k`` most similar other vectors for each probe.
 
@@ -170,7 +170,8 @@ def nearest(
 
     Vectors that are null, of another length, with a null or non-finite value or all zero are left out, as probes too. An id
     stored twice counts once; ties go to the smaller id. Fewer than ``k`` others give fewer rows, an empty input none. Only
-    the centroids rest on a sample, of at most ``sample_rows`` vectors for each table; all vectors are indexed.
+    the centroids rest on a sample, of at most ``sample_rows`` vectors for each table; all vectors are indexed. ``query_type`` is the
+    precision in which queries travel to the shards (``f2`` halves what is shuffled when every vector is a query).
     """
     spark = vectors.sparkSession
     src = vectors.select("tbl", "id", "vec").where("vec is not null and id is not null")
@@ -184,7 +185,7 @@ def nearest(
         centres[tbl] = _centroids(sample, min(cells, max(1, len(sample) // 10))) if len(sample) else np.zeros((1, dim), np.float32)
     sent = spark.sparkContext.broadcast(centres)  # rows / shard_rows centroids
 
-    def place(width: int):
+    def place(width: int, kind: str = "f4"):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, v = unit_rows(batch["vec"], dim)
@@ -196,7 +197,7 @@ def nearest(
                     w = min(width, len(c))
                     s = x @ c.T
                     cell = np.argpartition(-s, w - 1, axis=1)[:, :w] if w < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-                    raw = pa.array([r.tobytes() for r in x], pa.binary())
+                    raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                     rep = pa.array(np.repeat(np.arange(len(own)), w))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(rep)), pa.array(cell.ravel().astype(np.int32)), ids.take(pa.array(own)).take(rep), raw.take(rep)], names=["tbl", "cell", "id", "raw"]
@@ -209,7 +210,7 @@ def nearest(
     sizes = placed.groupBy("tbl", "cell").agg(F.count("*").alias("n"))
     splits = small_side(sizes.select("tbl", "cell", F.ceil(F.col("n") / (2 * shard_rows)).cast("int").alias("splits")))
     asked = src if probes is None else src.join(probes.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi")
-    asked = asked.dropDuplicates(["tbl", "id"]).mapInArrow(place(cells_probed), schema)
+    asked = asked.dropDuplicates(["tbl", "id"]).mapInArrow(place(cells_probed, query_type), schema)
     asked = asked.join(splits, ["tbl", "cell"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     indexed = placed.join(splits, ["tbl", "cell"]).withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
     keys = ["tbl", "cell", "split"]
@@ -222,7 +223,7 @@ def nearest(
             raw = np.frombuffer(b"".join(x["raw"].to_pylist()), np.float32).reshape(-1, dim)[first]
             graph = FlatGraph(raw)
             names, tbl = np.array(q["id"].to_pylist(), object).astype(str), q["tbl"][0].as_py()
-            asked_v = np.frombuffer(b"".join(q["raw"].to_pylist()), np.float32).reshape(-1, dim)
+            asked_v = np.frombuffer(b"".join(q["raw"].to_pylist()), query_type).reshape(-1, dim).astype(np.float32)
             for a in range(0, len(names), 2048):
                 near, sim = graph.search(asked_v[a : a + 2048], k + 1, beam)
                 i, j = np.nonzero(near >= 0)

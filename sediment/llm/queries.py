@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every usable vector."""
-    return neighbours.nearest(_vectors(spark, d), None).select(F.col("tbl").alias("vec_table"), F.col("id").alias("vec_id"), "neighbour_id", F.round("sim", 4).alias("sim"))
+    return neighbours.nearest(_vectors(spark, d), None, cells_probed=8, query_type="f2").select(F.col("tbl").alias("vec_table"), F.col("id").alias("vec_id"), "neighbour_id", F.round("sim", 4).alias("sim"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
