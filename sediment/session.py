@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -58,17 +59,20 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it wherever they run."""
+    """Sends this package to the executors, once a session, so that their Python workers can import it wherever they run. The archive lies in the checkpoint folder, which all share."""
     sc = spark.sparkContext
     if getattr(sc, "_sediment_shipped", False):
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    to = os.path.join(tempfile.mkdtemp(), "sediment.zip")
-    with zipfile.ZipFile(to, "w") as z:
+    root, packed = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, files in os.walk(root):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     path = os.path.join(folder, f)
                     z.write(path, os.path.join("sediment", os.path.relpath(path, root)))
-    sc.addPyFile(to)
+    to = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{sc.applicationId}/sediment.zip")
+    out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(to.toString())
     sc._sediment_shipped = True
