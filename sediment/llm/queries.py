@@ -126,3 +126,16 @@ SQL = {
  UNION ALL SELECT session_id, 'lost_turn' FROM s WHERE n < top + 1
  UNION ALL SELECT session_id, 'bad_role' FROM s WHERE bad""",
 }
+
+_WINDOWS = """w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+ b AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), x AS (SELECT doc_id, i FROM w SEMI JOIN b USING (h))"""
+SQL["p10_found"] = f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM x"
+SQL["p10_coverage"] = f"""WITH {_WINDOWS}, f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM x),
+ g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM f), c AS (SELECT doc_id, max(i) - min(i) + 200 AS n FROM g GROUP BY doc_id, g),
+ a AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(n) AS BIGINT) AS shared_chars FROM c GROUP BY doc_id)
+ SELECT doc_id, n_spans, shared_chars, round(shared_chars / length(text), 6) AS shared_share FROM a JOIN documents USING (doc_id)"""
+_VECTORS = "SELECT 'entities' AS t, lower(trim(id)) AS id, embedding::DOUBLE[] AS v FROM entities UNION SELECT 'clusters', lower(trim(id)), centroid::DOUBLE[] FROM clusters"
+SQL["p2_found"] = f"""WITH v AS (SELECT * FROM ({_VECTORS}) WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+ p AS (SELECT DISTINCT vec_table AS t, lower(trim(vec_id)) AS id FROM vector_probes)
+ SELECT a.t AS vec_table, a.id AS vec_id, b.id AS neighbour_id FROM v a SEMI JOIN p ON p.t = a.t AND p.id = a.id JOIN v b ON a.t = b.t AND a.id <> b.id
+ QUALIFY row_number() OVER (PARTITION BY a.t, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 10"""
