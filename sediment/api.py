@@ -90,15 +90,8 @@ class Memory:
 
     def touch(self, results: DataFrame, now: float) -> dict[str, int]:
         """Counts an access of the facts in ``results`` (``id``) and, once, of each entity that they name."""
-        ids = results.select("id").distinct()
-        hit = self.triples.join(ids, "id", "left_semi")
-
-        def bump(df: DataFrame, keys: DataFrame) -> DataFrame:
-            j = df.join(keys.withColumn("_hit", F.lit(True)), "id", "left")
-            return j.withColumn("access_count", F.col("access_count") + F.coalesce(F.col("_hit"), F.lit(False)).cast("int")).withColumn("last_accessed", F.when(F.col("_hit"), F.lit(now)).otherwise(F.col("last_accessed"))).select(df.columns)
-
-        ends = graph.endpoints(hit).select(F.col("entity_id").alias("id")).distinct()
-        return self.store.publish(triples=bump(self.triples, ids), entities=bump(self.entities, ends))
+        e, t = graph.touch(self.entities, self.triples, results, now)
+        return self.store.publish(entities=e, triples=t)
 
     def history(self, name: str, predicate: str | None = None) -> DataFrame:
         e = self.entities.where(F.lower(F.trim("name")).startswith(name.strip().lower())).select(F.col("id").alias("subject_id"))
@@ -131,9 +124,8 @@ class Memory:
         if action == "delete_triple":
             return self.store.publish(triples=t.where(F.col("id") != triple_id))
         if action == "delete_entity":
-            gone = named(name)
-            t = t.join(gone.withColumnRenamed("id", "subject_id"), "subject_id", "left_anti").join(gone.withColumnRenamed("id", "object_id"), "object_id", "left_anti").select(t.columns)
-            return self.store.publish(entities=e.join(gone, "id", "left_anti"), triples=t)
+            e2, t2 = graph.delete_entities(e, t, named(name))
+            return self.store.publish(entities=e2, triples=t2)
         if action == "merge_entities":
             keep = named(into).agg(F.min("id").alias("keep"))
             e2, t2 = graph.merge_entities(e, t, named(name).crossJoin(F.broadcast(keep)).where("keep is not null"))

@@ -76,3 +76,22 @@ def neighbourhood(triples: DataFrame, start: DataFrame, depth: int) -> DataFrame
             frontier = cut(hit.where("v is not null").select(F.col("v").alias("id")).distinct().join(seen, "id", "left_anti"))
             seen = seen.unionByName(frontier)
     return found.groupBy("triple_id").agg(F.min("depth").alias("depth"))
+
+
+def delete_entities(entities: DataFrame, triples: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities without those in ``gone`` (``id``), and triples that name none of them."""
+    g = gone.select("id").distinct()
+    t = triples.join(g.withColumnRenamed("id", "subject_id"), "subject_id", "left_anti").join(g.withColumnRenamed("id", "object_id"), "object_id", "left_anti")
+    return entities.join(g, "id", "left_anti"), t.select(triples.columns)
+
+
+def touch(entities: DataFrame, triples: DataFrame, ids: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """One access more for the triples in ``ids`` (``id``) and, once, for each entity that they name."""
+
+    def bump(df: DataFrame, keys: DataFrame) -> DataFrame:
+        j = df.join(keys.distinct().withColumn("_hit", F.lit(1)), "id", "left")
+        j = j.withColumn("access_count", F.col("access_count") + F.coalesce("_hit", F.lit(0)))
+        return j.withColumn("last_accessed", F.when(F.col("_hit").isNotNull(), F.lit(now)).otherwise(F.col("last_accessed"))).select(df.columns)
+
+    hit = triples.join(ids.select("id"), "id", "left_semi")
+    return bump(entities, endpoints(hit).select(F.col("entity_id").alias("id"))), bump(triples, ids.select("id"))

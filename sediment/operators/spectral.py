@@ -168,3 +168,17 @@ def importance(adj: DataFrame, budget: int, dense_nodes: int = 2000) -> DataFram
     raw = sum(vectors[:, i] ** 2 / max(values[i], 1e-10) for i in range(1, k))
     top = raw.max() if raw.max() > 0 else 1.0
     return adj.sparkSession.createDataFrame([(n, float(v / top)) for n, v in zip(nodes, raw, strict=True)], "id string, importance double")
+
+
+def local_gap(triples: DataFrame, start: DataFrame, steps: int = 5) -> tuple[float, int]:
+    """Gap and radius of the graph around the entities ``start`` (``id``): of all links between entities within ``steps`` steps. Fewer than three entities: (1.0, 1)."""
+    from sediment.operators.graph import neighbourhood
+
+    t = triples.where("valid_until is null and object_id is not null")
+    near = neighbourhood(t, start, steps)
+    part = t.join(near.select(F.col("triple_id").alias("id")), "id", "left_semi")
+    adj = cut(adjacency(part))
+    if adj.select("src").distinct().limit(3).count() < 3:
+        return 1.0, 1
+    gap = spectral_gap(adj)
+    return gap, 10 if gap <= 0 else max(1, min(int(np.ceil(2 / gap)), 15))

@@ -7,12 +7,43 @@ from pyspark.sql import functions as F
 
 from sediment.functions.keys import object_key
 from sediment.functions.text import render_fact
-from sediment.operators import compression, consolidation, dense, evaluation, graph, retrieval, spectral, temporal
+from sediment.operators import compression, consolidation, dense, evaluation, graph, retrieval, search, spectral, temporal
 from sediment.operators.lexical import bm25, top_k
 from sediment.plans.base import AT, NOW, E, Q, T, TOKENS, asked, entities, triples
 from sediment.sources.tables import spread, table
 
 
+def find_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = search.find_entities(entities(spark, d), "Project ")
+    return e.select("id", "name")
+
+
+def delete_entity(spark: SparkSession, d: str) -> DataFrame:
+    """Triples of each relation left when all organisations are deleted."""
+    e, t = entities(spark, d), triples(spark, d)
+    return graph.delete_entities(e, t, e.where("entity_type = 'organisation'"))[1].groupBy("relation_type").agg(F.count("*").alias("n"))
+
+
+def touch_access(spark: SparkSession, d: str) -> DataFrame:
+    """Access counts of entities after all open causal and dependency facts were read once."""
+    t = triples(spark, d)
+    e, _ = graph.touch(entities(spark, d), t, t.where("valid_until is null and relation_type in ('causal', 'depends')"), NOW)
+    return e.select("id", "access_count", (F.col("last_accessed") == NOW).alias("read_now"))
+
+
+def local_subgraph_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Gap and radius around the entities of the first cluster by id."""
+    c = table(spark, d, "clusters").where("entity_ids <> '[]'").groupBy().agg(F.min(F.struct("id", "entity_ids")).alias("c"))
+    gap, radius = spectral.local_gap(triples(spark, d), c.select(F.explode(F.from_json("c.entity_ids", "array<string>")).alias("id")), 3)
+    return spark.range(1).select(F.lit(gap).alias("gap"), F.lit(radius).alias("radius"))
+
+
+def multi_probe_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = _vectors(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    r = dense.multi_probe(v, v.where("id % 100 = 0").withColumnRenamed("id", "qid"), 10, 64)
+    return r.select("qid", "id", F.round("score", 6).alias("score"), "pos")
+
+
 def _value() -> object:
     return object_key(F.col("object_id"), F.col("object_value"))
 
@@ -269,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         current_facts, as_of_facts, fact_history, scd2_facts, late_facts, contradictions, triple_pattern, list_entities, list_triples, orphans, touched_entities, duplicates, merge_entities,
-        superseded_counts, neighbours_3, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, recall_hybrid, query_facets, hybrid_stage1, grouped_sessions, temporal_score,
+        superseded_counts, neighbours_3, find_entities, delete_entity, touch_access, local_subgraph_gap, multi_probe_topk, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, recall_hybrid, query_facets, hybrid_stage1, grouped_sessions, temporal_score,
         adjacency, weighted_degree, laplacian_entries, decay_operator, spectral_gap, clusters, promote_repeated, dedup_triples, self_references, prune, decay_triples, consolidate,
         cluster_centroid, graph_stats, compress_l2, budget_report,
     )
@@ -298,6 +329,11 @@ _METRIC = f"""{_SIM}, hit AS (SELECT top.qid, pos, CASE WHEN a.label = b.label T
   coalesce(dh / (SELECT ideal_h FROM idl WHERE n = n10), 0.0) AS ndcg_retrieved_10 FROM mt)"""
 
 SQL = {
+    "find_entities": f"WITH {E} SELECT id, name FROM e WHERE starts_with(lower(trim(name)), 'project') ORDER BY lower(trim(name)) = 'project' DESC, confidence DESC, access_count DESC, id LIMIT 20",
+    "delete_entity": f"""WITH {E}, {T}, g AS (SELECT id FROM e WHERE entity_type = 'organisation')
+ SELECT relation_type, count(*) AS n FROM t WHERE subject_id NOT IN (SELECT id FROM g) AND (object_id IS NULL OR object_id NOT IN (SELECT id FROM g)) GROUP BY relation_type""",
+    "touch_access": f"""WITH {E}, {T}, h AS (SELECT subject_id AS s, object_id AS o FROM t WHERE valid_until IS NULL AND relation_type IN ('causal', 'depends')), x AS (SELECT s AS id FROM h UNION SELECT o FROM h WHERE o IS NOT NULL)
+ SELECT e.id, CASE WHEN x.id IS NULL THEN access_count ELSE access_count + 1 END AS access_count, CASE WHEN x.id IS NOT NULL THEN true WHEN last_accessed IS NOT NULL THEN false END AS read_now FROM e LEFT JOIN x ON e.id = x.id""",
     "current_facts": f"WITH {T} SELECT predicate, count(*) AS n_open, round(avg(confidence), 6) AS avg_confidence FROM t WHERE valid_until IS NULL GROUP BY predicate",
     "as_of_facts": f"WITH {T} SELECT id, subject_id, predicate FROM t WHERE valid_from <= {AT} AND (valid_until IS NULL OR valid_until > {AT})",
     "fact_history": f"WITH {T} SELECT subject_id, predicate, id, CAST(row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from, created_at, id) AS INTEGER) AS version FROM t WHERE valid_from IS NOT NULL",
@@ -321,6 +357,12 @@ SQL = {
  h3 AS (SELECT DISTINCT l.id FROM l JOIN (SELECT DISTINCT v FROM h2 WHERE v IS NOT NULL) x ON l.u = x.v)
  SELECT id AS triple_id, CAST(min(d) AS INTEGER) AS depth FROM (SELECT id, 1 AS d FROM h1 UNION ALL SELECT id, 2 FROM h2 UNION ALL SELECT id, 3 FROM h3) GROUP BY id""",
     "dense_topk": f"WITH {_SIM} SELECT qid, id, round(score, 6) AS score, pos FROM top",
+    "multi_probe_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ s AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS pos FROM s QUALIFY pos <= 10),
+ u AS (SELECT qid, id, score FROM r WHERE qid % 100 = 0 UNION ALL SELECT a.qid, b.id, b.score * 0.5 / a.pos FROM r a JOIN r b ON a.qid % 100 = 0 AND a.pos <= 3 AND b.qid = a.id AND b.id <> a.qid),
+ m AS (SELECT qid, id, max(score) AS score FROM u GROUP BY ALL)
+ SELECT qid, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS pos FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 10""",
     "dense_expansion_flag": f"""WITH {_SIM}, p AS (SELECT qid, max(score) FILTER (pos = 1) AS s1, max(score) FILTER (pos = 2) AS s2, max(score) FILTER (pos = 5) AS s5 FROM top GROUP BY qid)
  SELECT qid, coalesce(s1 - s2 < 2 * (s2 - s5), false) AS expand FROM p""",
     "retrieval_metrics": f"""WITH {_METRIC} SELECT qid, recall_any_5, recall_all_5, round(ndcg_5, 6) AS ndcg_5, recall_any_10, recall_all_10, round(ndcg_10, 6) AS ndcg_10, round(ndcg_retrieved_10, 6) AS ndcg_retrieved_10 FROM mm""",

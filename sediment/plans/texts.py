@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as X
-from sediment.operators import consolidation, ingest, retrieval, temporal
+from sediment.operators import consolidation, ingest, retrieval, search, temporal
 from sediment.operators.lexical import bm25, top_k
 from sediment.plans.base import AT, M, NOW, Q, TOKENS, asked, entities, messages, triples
 from sediment.sources import archive, store
@@ -161,6 +161,23 @@ def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
     return r.select("name_key", "entity_type", F.round("created_at", 3).alias("created_at"), "is_new")
 
 
+def boolean_search(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that meet an expression of words and phrases."""
+    return messages(spark, d).where(search.matches(F.col("content"), '"rollback steps" OR (ledger AND currency) OR (Greyfen NOT office)')).select("id")
+
+
+def session_documents(spark: SparkSession, d: str) -> DataFrame:
+    return search.session_documents(messages(spark, d)).select("session_id", F.md5("user_text").alias("user_md5"), F.md5("all_text").alias("all_md5"))
+
+
+def paired_events(spark: SparkSession, d: str) -> DataFrame:
+    """The n-th view of each user with the n-th purchase."""
+    e = table(spark, d, "events")
+    kinds = e.groupBy().agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
+    p = search.pair_events(e, "user_id", "ts", "event_type", kinds.a, kinds.b)
+    return p.groupBy("user_id").agg(F.count("*").alias("n_opened"), F.count("closed").alias("n_closed"))
+
+
 def cooccurrence_pairs(spark: SparkSession, d: str) -> DataFrame:
     items = _ascii(spark, d).select(F.col("id").alias("grp"), X.proper_names(F.col("content")).alias("names"))
     return consolidation.cooccurrence(items)
@@ -171,7 +188,7 @@ QUERIES = {
     for f in (
         tokenize_counts, document_frequency, token_estimate, extract_names, extract_quoted, extract_facts, sentence_windows, turn_windows, durable_candidates, session_turns, recent_turns,
         session_markdown, retention_candidates, archive_round_trip, restore_skip_existing, raw_usage, integrity_check, bm25_okapi_topk, bm25_plus_topk, bm25_whitespace_topk, fts_search,
-        window_bm25_collapse, competition_ranks, rrf_fusion, ingest_assertions, resolve_entities, cooccurrence_pairs,
+        window_bm25_collapse, competition_ranks, rrf_fusion, ingest_assertions, resolve_entities, cooccurrence_pairs, boolean_search, session_documents, paired_events,
     )
 }
 
@@ -204,6 +221,12 @@ _TOP = " SELECT qid, id, round(score, 6) AS score, pos FROM (SELECT *, row_numbe
 _DOCS = "SELECT doc_id AS id, text FROM documents"
 
 SQL = {
+    "boolean_search": f"""WITH {M}, p AS (SELECT id, ' ' || array_to_string({TOKENS.format("coalesce(content, '')")}, ' ') || ' ' AS s FROM m)
+ SELECT id FROM p WHERE contains(s, ' rollback steps ') OR (contains(s, ' ledger ') AND contains(s, ' currency ')) OR (contains(s, ' greyfen ') AND NOT contains(s, ' office '))""",
+    "session_documents": f"""WITH {M}, x AS (SELECT * FROM m WHERE session_id IS NOT NULL AND trim(content) <> '')
+ SELECT session_id, md5(string_agg(content, chr(10) ORDER BY ts, id) FILTER (role IN ('user', 'human'))) AS user_md5, md5(string_agg(content, chr(10) ORDER BY ts, id)) AS all_md5 FROM x GROUP BY session_id HAVING user_md5 IS NOT NULL""",
+    "paired_events": """WITH k AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), o AS (SELECT user_id, count(*) FILTER (event_type = a) AS x, count(*) FILTER (event_type = b) AS y FROM events, k GROUP BY user_id)
+ SELECT user_id, x AS n_opened, least(x, y) AS n_closed FROM o WHERE x > 0""",
     "tokenize_counts": f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens FROM documents",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents) GROUP BY term",
     "token_estimate": f"WITH {M} SELECT id, coalesce(len(regexp_extract_all(content, '[^\\s]+')), 0) AS n_words FROM m",
