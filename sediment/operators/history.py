@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions.keys import OPEN
 from sediment.operators.intervals import merge_periods
-from sediment.session import cut, small_side
+from sediment.session import cut, hot_keys, small_side
 
 #: Levels of the tree, and bits of the bucket number that each adds.
 LEVELS, BITS = 3, 4
@@ -54,12 +54,12 @@ def versions(records: DataFrame, keys: Sequence[str], hot_rows: int = 500_000) -
     the same are one version. Returns the keys, ``s``, ``e`` and ``tag``.
     """
     keys = list(keys)
-    crowded = records.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys).collect()  # at most rows / hot_rows
+    crowded = hot_keys(records, keys, hot_rows)
     w = Window.partitionBy(*keys).orderBy("s")
     if not crowded:
         held = records.withColumn("e", F.least("e", F.coalesce(F.lead("s").over(w), F.lit(OPEN))))
     else:
-        hot = F.broadcast(records.sparkSession.createDataFrame([r.asDict() for r in crowded], records.select(*keys).schema))
+        hot = F.broadcast(records.sparkSession.createDataFrame(crowded, records.select(*keys).schema))  # bounded by hot_keys
         cold = records.join(hot, keys, "left_anti").withColumn("e", F.least("e", F.coalesce(F.lead("s").over(w), F.lit(OPEN))))
         rest = records.join(hot, keys, "left_semi")
         bounds = rest.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("s", F.array(*(F.lit(i / 64) for i in range(1, 64))), 10_000)).alias("_b"))

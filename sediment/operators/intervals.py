@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.keys import OPEN
-from sediment.session import small_side
+from sediment.session import hot_keys, small_side
 
 
 def _islands(df: DataFrame, part: Sequence[str], same: bool) -> DataFrame:
@@ -51,14 +51,13 @@ def merge_periods(df: DataFrame, keys: Sequence[str], same: bool = False, hot_ro
     keys = list(keys)
     cols = [*keys, "s", "e", "shared", *(["tag"] if same else [])]
     df = df.select(*cols).dropna(subset=[*keys, "s", "e"])
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    hot = [r.asDict() for r in counts.collect()]  # at most rows / hot_rows keys
+    hot = hot_keys(df, keys, hot_rows)
     if not hot:
         return _with_next(_islands(df, keys, same), keys, same)
     spark = df.sparkSession
-    hot_keys = F.broadcast(spark.createDataFrame(hot, counts.schema))
-    cold = _with_next(_islands(df.join(hot_keys, keys, "left_anti"), keys, same), keys, same)
-    return cold.unionByName(_merge_hot(df.join(hot_keys, keys, "left_semi"), keys, same, shards))
+    crowded = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))  # bounded by hot_keys
+    cold = _with_next(_islands(df.join(crowded, keys, "left_anti"), keys, same), keys, same)
+    return cold.unionByName(_merge_hot(df.join(crowded, keys, "left_semi"), keys, same, shards))
 
 
 def _with_next(islands: DataFrame, part: Sequence[str], same: bool) -> DataFrame:

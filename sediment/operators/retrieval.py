@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions.text import tokens
 from sediment.operators.lexical import bm25, top_k
+from sediment.session import cut, small_side
 
 # The weights of fusion, blending and decay.
 DENSE, LEXICAL = 0.70, 0.30
@@ -145,13 +146,11 @@ def mentioned_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     begins = F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.struct(F.array_join(F.slice(words, F.lit(1), i), " ").alias("key"), (i == F.size(words)).alias("whole"))))
     e = entities.where("trim(name) <> ''").select("id", "confidence", "access_count", begins.alias("b")).select("id", "confidence", "access_count", "b.*")
     best = F.max_by("id", F.struct("whole", "confidence", "access_count", F.negate(F.xxhash64("id"))))
-    return e.join(F.broadcast(m.distinct()), "key").groupBy("qid", "key").agg(best.alias("id")).select("qid", "id").distinct()
+    return e.join(small_side(m.distinct()), "key").groupBy("qid", "key").agg(best.alias("id")).select("qid", "id").distinct()
 
 
 def walk_scores(triples: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """``starts``: ``qid``, ``id``. Open triples within ``depth`` steps of a query's entities: ``qid``, ``id``, ``score`` (confidence by depth, the best)."""
-    from sediment.session import cut
-
     t = triples.where("valid_until is null")
     ends = F.explode(F.array_distinct(F.array_compact(F.array("subject_id", "object_id"))))
     links = t.select(F.col("id").alias("triple_id"), F.coalesce("confidence", F.lit(1.0)).alias("c"), "subject_id", "object_id", ends.alias("u"))

@@ -54,6 +54,16 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int, most: int = 10_000) -> list[dict]:
+    """Keys with more than ``hot_rows`` rows, at most ``most`` of them: if there are more, the limit is raised, as a cluster with so many large keys is kept busy by them one by one."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    while True:
+        hot = counts.where(F.col("_n") > hot_rows).select(*keys).limit(most + 1).collect()
+        if len(hot) <= most:
+            return [r.asDict() for r in hot]
+        hot_rows *= 4
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
