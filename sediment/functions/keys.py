@@ -26,13 +26,21 @@ def object_key(object_id: Column, object_value: Column) -> Column:
     )
 
 
+#: Fixed value: seconds beyond which a time isn't one.
+FAR = 9e18
+
+
+def finite_time(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < FAR)
+
+
 def valid_period(valid_from: Column, valid_until: Column) -> Column:
-    """A start and, if an end is set, a later end. NaN counts as missing."""
-    return valid_from.isNotNull() & ~F.isnan(valid_from) & (valid_until.isNull() | (~F.isnan(valid_until) & (valid_until > valid_from)))
+    """A start and, if an end is set, a later end. NaN and an infinite start count as missing, an infinite end as open."""
+    return finite_time(valid_from) & (valid_until.isNull() | (~F.isnan(valid_until) & (valid_until > valid_from)))
 
 
 def end_or_open(valid_until: Column) -> Column:
-    return F.coalesce(valid_until.cast("bigint"), F.lit(OPEN))
+    return F.when(valid_until.isNull() | (valid_until >= FAR), F.lit(OPEN)).otherwise(valid_until.cast("bigint"))
 
 
 def show_end(c: Column) -> Column:

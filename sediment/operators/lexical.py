@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.functions.text import tokens
+from sediment.functions.text import WORD, tokens
 from sediment.session import cut, small_side
 
 
@@ -29,17 +33,8 @@ def term_stats(docs: DataFrame, tokenise: Callable[[Column], Column] = tokens) -
     return toks.select(F.explode(F.array_append(each, none)).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("total"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, variant: str = "okapi", tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
-    """BM25 scores: ``qid``, ``id``, ``score`` for documents that share a term with the query.
-
-    ``docs``: ``id``, ``text``; ``queries``: ``qid``, ``text``. ``okapi``: k1 1.5, b 0.75, negative idf replaced by a quarter of the mean idf;
-    ``plus``: idf ln((N + 1) / n), same k1 and b; ``fts``: k1 1.2. A query's repeated terms count repeatedly. The mean length
-    counts empty documents. Null texts are empty; empty documents, queries or tables give no rows.
-
-    Two passes over the texts: statistics of all terms, which are combined before the shuffle, and the postings of the
-    queries' terms, which are cut down to these terms before they are counted.
-    """
-    k1, b = (1.2 if variant == "fts" else 1.5), 0.75
+def _weighted(docs: DataFrame, variant: str, tokenise: Callable[[Column], Column]) -> tuple[DataFrame, int, float]:
+    """``term`` and ``idf``, the number of documents, and their mean length."""
     vocabulary = cut(term_stats(docs, tokenise))
     whole = vocabulary.where("term is null").first()
     n_docs, avgdl = (whole.df, max(whole.total / whole.df, 1e-9)) if whole else (0, 1.0)
@@ -53,8 +48,23 @@ def bm25(docs: DataFrame, queries: DataFrame, variant: str = "okapi", tokenise:
         raw = F.log(n - df + 0.5) - F.log(df + 0.5)
         floor = (terms.agg(F.avg(raw)).first()[0] or 0.0) * 0.25
         idf = F.when(raw < 0, F.lit(floor)).otherwise(raw)
+    return terms.select("term", idf.alias("idf")), n_docs, avgdl
+
+
+def bm25(docs: DataFrame, queries: DataFrame, variant: str = "okapi", tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
+    """BM25 scores: ``qid``, ``id``, ``score`` for documents that share a term with the query.
+
+    ``docs``: ``id``, ``text``; ``queries``: ``qid``, ``text``. ``okapi``: k1 1.5, b 0.75, negative idf replaced by a quarter of the mean idf;
+    ``plus``: idf ln((N + 1) / n), same k1 and b; ``fts``: k1 1.2. A query's repeated terms count repeatedly. The mean length
+    counts empty documents. Null texts are empty; empty documents, queries or tables give no rows.
+
+    Two passes over the texts: statistics of all terms, which are combined before the shuffle, and the postings of the
+    queries' terms, which are cut down to these terms before they are counted.
+    """
+    k1, b = (1.2 if variant == "fts" else 1.5), 0.75
+    terms, _, avgdl = _weighted(docs, variant, tokenise)
     asked = queries.select("qid", F.explode(tokenise(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = cut(asked.join(terms.select("term", idf.alias("idf")), "term"))
+    asked = cut(asked.join(terms, "term"))
     post = postings(docs, tokenise, small_side(asked.select("term").distinct()))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return post.join(small_side(asked), "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
@@ -64,3 +74,52 @@ def top_k(scores: DataFrame, k: int, by: str = "qid", score: str = "score", tie:
     """The best ``k`` of each group, ties to the smaller ``tie``; adds ``pos`` from 1."""
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return scores.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def bm25_many(docs: DataFrame, queries: DataFrame, k: int, variant: str = "okapi", most_cells: int = 50_000_000) -> DataFrame:
+    """The best ``k`` documents (``id`` bigint) for each of many long queries (``qid`` int): ``qid``, ``id``, ``score``, ``pos``; as bm25 with top_k.
+
+    Queries are held as a matrix of at most ``most_cells`` weights, in blocks if there are more. Documents pass it in batches:
+    their term weights times the matrix are all scores of the batch, and a task keeps only the best ``k`` of each query.
+    """
+    k1, b = (1.2 if variant == "fts" else 1.5), 0.75
+    terms, _, avgdl = _weighted(docs, variant, tokens)
+    asked = cut(queries.select("qid", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(terms, "term"))
+    cells = asked.agg(F.count_distinct("qid") * F.count_distinct("term")).first()[0]
+    blocks, out = max(1, -(-cells // most_cells)), None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toPandas()  # about most_cells / terms queries
+        qids, row = np.unique(part["qid"].to_numpy(), return_inverse=True)
+        names, col = np.unique(part["term"].to_numpy(object).astype(str), return_inverse=True)
+        weight = np.zeros((len(names), len(qids)))
+        weight[col, row] = part["qtf"].to_numpy() * part["idf"].to_numpy()
+        shared = np.zeros(weight.shape, np.float32)
+        shared[col, row] = 1
+        sent = docs.sparkSession.sparkContext.broadcast((qids, {n: i for i, n in enumerate(names)}, weight, shared))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, place, weight, shared = sent.value
+            word = regex.compile(WORD)
+            best_s, best_i = np.full((len(qids), 0), -np.inf), np.zeros((len(qids), 0), np.int64)
+            for batch in batches:
+                ids, texts = batch["id"].to_numpy(zero_copy_only=False), batch["text"].to_pylist()
+                for a in range(0, len(texts), 512):
+                    tf = np.zeros((len(texts[a : a + 512]), len(place)))
+                    dl = np.zeros(len(tf))
+                    for i, t in enumerate(texts[a : a + 512]):
+                        found = word.findall(t.lower()) if t else []
+                        dl[i] = len(found)
+                        for w, n in Counter(map(place.get, found)).items():
+                            if w is not None:
+                                tf[i, w] = n
+                    s = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)[:, None])) @ weight
+                    s[((tf > 0).astype(np.float32) @ shared) == 0] = -np.inf
+                    s, own = np.hstack([best_s, s.T]), np.hstack([best_i, np.broadcast_to(ids[a : a + 512], s.T.shape)])
+                    order = np.lexsort((own, -np.round(s, 9)), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
+            i, j = np.nonzero(np.isfinite(best_s))
+            yield pa.RecordBatch.from_arrays([pa.array(qids[i].astype(np.int32)), pa.array(best_i[i, j]), pa.array(best_s[i, j])], names=["qid", "id", "score"])
+
+        found = docs.select("id", "text").mapInArrow(run, "qid int, id bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out.withColumn("score", F.round("score", 9)), k)

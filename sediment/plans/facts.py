@@ -71,7 +71,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     # a record stored again gives the same rows; only broken ones are left here
     return (
         _broken(spark, d)
-        .select(F.col("rec_id").alias("triple_id"), F.col("field").alias("ref_field"), "ref_status", F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM").alias("period"))
+        .select(F.col("rec_id").alias("triple_id"), F.col("field").alias("ref_field"), "ref_status", F.when(F.abs("created_at") < 1e11, F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM")).alias("period"))
         .distinct()
     )
 
@@ -84,7 +84,7 @@ def p5_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "triples")
-    last = t.agg(F.date_trunc("month", F.timestamp_seconds(F.max("created_at"))).cast("double").alias("m")).first()
+    last = t.where(F.abs("created_at") < 1e11).agg(F.date_trunc("month", F.timestamp_seconds(F.max("created_at"))).cast("double").alias("m")).first()
     kinds = table(spark, d, "predicate_kinds").where("kind = 'stateful'").select(norm_predicate(F.col("predicate")).alias("predicate")).distinct()
     records = (
         t.where((F.col("relation_type") == "fact") & valid_period(F.col("valid_from"), F.col("valid_until")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import text as X
 from sediment.operators import consolidation, ingest, retrieval, search, temporal
-from sediment.operators.lexical import bm25, top_k
+from sediment.operators.lexical import bm25, bm25_many, top_k
 from sediment.plans.base import AT, M, NOW, Q, TOKENS, asked, entities, messages, triples
 from sediment.sources import archive, store
 from sediment.sources.tables import spread, table
@@ -127,6 +127,12 @@ def fts_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(top_k(bm25(m, asked(spark), "fts").withColumn("score", F.round("score", 9)), 10))
 
 
+def bm25_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    """All held-out passages as queries over all documents."""
+    q = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("item_text").alias("text"))
+    return _rounded(bm25_many(_documents(spark, d), q, 10))
+
+
 def window_bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Sentence windows of documents ranked, their scores collapsed to the document's largest."""
     w = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
@@ -187,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_counts, document_frequency, token_estimate, extract_names, extract_quoted, extract_facts, sentence_windows, turn_windows, durable_candidates, session_turns, recent_turns,
-        session_markdown, retention_candidates, archive_round_trip, restore_skip_existing, raw_usage, integrity_check, bm25_okapi_topk, bm25_plus_topk, bm25_whitespace_topk, fts_search,
+        session_markdown, retention_candidates, archive_round_trip, restore_skip_existing, raw_usage, integrity_check, bm25_okapi_topk, bm25_plus_topk, bm25_whitespace_topk, fts_search, bm25_batch_topk,
         window_bm25_collapse, competition_ranks, rrf_fusion, ingest_assertions, resolve_entities, cooccurrence_pairs, boolean_search, session_documents, paired_events,
     )
 }
@@ -255,6 +261,7 @@ SQL = {
  UNION ALL SELECT 'relation', count(*) FROM t WHERE r NOT IN ('fact', 'causal', 'depends', 'supersedes', 'contradicts') UNION ALL SELECT 'object', count(*) FROM t WHERE (o IS NULL) = (v IS NULL)
  UNION ALL SELECT 'confidence', count(*) FROM t WHERE c < 0 OR c > 1""",
     "bm25_okapi_topk": _bm25(_DOCS, TOKENS, "okapi") + _TOP,
+    "bm25_batch_topk": _bm25(_DOCS, TOKENS, "okapi").replace(Q, "q AS (SELECT item_id AS qid, item_text AS text FROM eval_items)") + _TOP,
     "bm25_plus_topk": _bm25(_DOCS, TOKENS, "plus") + _TOP,
     "bm25_whitespace_topk": _bm25(_DOCS, "string_split({}, ' ')", "okapi") + _TOP,
     "fts_search": _bm25("SELECT id, content AS text FROM m", TOKENS, "fts", f"{M}, ") + _TOP,

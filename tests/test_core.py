@@ -8,7 +8,7 @@ from sediment.functions import text as X
 from sediment.functions.strings import deletions, near, within_one_edit
 from sediment.operators import compression, consolidation, dense, evaluation, graph, ingest, retrieval, spectral, temporal
 from sediment.operators.components import components
-from sediment.operators.lexical import bm25, top_k
+from sediment.operators.lexical import bm25, bm25_many, top_k
 from sediment.sources import archive, store
 
 TRIPLE = "id string, subject_id string, predicate string, object_id string, object_value string, relation_type string, confidence double, valid_from double, valid_until double, source_ref string, created_at double, access_count bigint"
@@ -79,6 +79,17 @@ def test_bm25_against_formula(spark):
     assert bm25(spark.createDataFrame([], "id int, text string"), spark.createDataFrame([(1, "a")], "qid int, text string")).count() == 0
 
 
+def test_many_queries_as_one_matrix(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghijklm", k=rng.randrange(0, 30)))) for i in range(300)] + [(900, None)], "id bigint, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghijklmz", k=12))) for i in range(20)] + [(90, None), (91, "zz")], "qid int, text string")
+    for cells in (10**6, 40):
+        many = {(r.qid, r.pos): (r.id, round(r.score, 6)) for r in bm25_many(docs, queries, 5, most_cells=cells).collect()}
+        plain = {(r.qid, r.pos): (r.id, round(r.score, 6)) for r in top_k(bm25(docs, queries).withColumn("score", F.round("score", 9)), 5).collect()}
+        assert many == plain and len(many) == 100
+    assert bm25_many(docs.limit(0), queries, 5).count() == 0 and bm25_many(docs, queries.limit(0), 5).count() == 0
+
+
 def test_top_k_ties(spark):
     s = spark.createDataFrame([(1, i, 1.0) for i in (5, 3, 4)], "qid int, id int, score double")
     assert [r.id for r in top_k(s, 2).orderBy("pos").collect()] == [3, 4]
@@ -261,3 +272,11 @@ def test_streaming(spark, tmp_path):
     q = append_new(spark.readStream.schema("id string, content string").parquet(msgs), str(tmp_path / "out"), str(tmp_path / "c2"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_periods_with_infinite_times(spark):
+    from sediment.functions.keys import OPEN, end_or_open, valid_period
+
+    rows = [(0.0, None), (0.0, float("inf")), (float("inf"), None), (float("nan"), 1.0), (1.0, float("nan")), (5.0, 5.0), (None, 1.0), (1.0, 2.0)]
+    df = spark.createDataFrame(rows, "f double, u double").where(valid_period(F.col("f"), F.col("u")))
+    assert [tuple(r) for r in df.select(F.col("f").cast("bigint"), end_or_open(F.col("u"))).collect()] == [(0, OPEN), (0, OPEN), (1, 2)]
