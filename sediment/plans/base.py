@@ -24,16 +24,19 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def _latest(df: DataFrame) -> DataFrame:
-    """Each id once: the row of the most accesses, then of the last access."""
-    return df.groupBy("id").agg(F.max_by(F.struct(*[c for c in df.columns if c != "id"]), F.struct("access_count", "last_accessed")).alias("_r")).select("id", "_r.*")
+    """Each id once. A row stored again differs at most in its accesses: those of the most-accessed row stand, then of the latest. One aggregate for each column, so that unused ones are never read."""
+    latest = F.max(F.struct("access_count", "last_accessed"))
+    kept = {"access_count": latest["access_count"], "last_accessed": latest["last_accessed"]}
+    return df.groupBy("id").agg(*(kept.get(c, F.max(c)).alias(c) for c in df.columns if c != "id"))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
     return _latest(table(spark, d, "entities").withColumn("id", norm_id(F.col("id"))))
 
 
-def triples(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "triples")
+def triples(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """``where``: a condition on columns that a row stored again doesn't change; it goes to the scan."""
+    t = table(spark, d, "triples").where(where)
     ref = F.when(F.trim("source_ref") != "", norm_id(F.col("source_ref")))
     t = t.withColumns({"id": norm_id(F.col("id")), "subject_id": norm_id(F.col("subject_id")), "object_id": norm_id(F.col("object_id")), "predicate": norm_predicate(F.col("predicate")), "source_ref": ref})
     return _latest(t)

@@ -49,22 +49,22 @@ def _value() -> object:
 
 
 def current_facts(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.current(triples(spark, d)).groupBy("predicate").agg(F.count("*").alias("n_open"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    return triples(spark, d, "valid_until is null").groupBy("predicate").agg(F.count("*").alias("n_open"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
 def as_of_facts(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.as_of(triples(spark, d), AT).select("id", "subject_id", "predicate")
+    return temporal.as_of(triples(spark, d, f"valid_from <= {AT}"), AT).select("id", "subject_id", "predicate")
 
 
 def fact_history(spark: SparkSession, d: str) -> DataFrame:
     """All versions of each (subject, predicate) in order."""
     w = Window.partitionBy("subject_id", "predicate").orderBy("valid_from", "created_at", "id")
-    return triples(spark, d).where("valid_from is not null").select("subject_id", "predicate", "id", F.row_number().over(w).alias("version"))
+    return triples(spark, d, "valid_from is not null").select("subject_id", "predicate", "id", F.row_number().over(w).alias("version"))
 
 
 def scd2_facts(spark: SparkSession, d: str) -> DataFrame:
     """Open assertions of facts superseding each other in order of their starts."""
-    t = triples(spark, d).where("relation_type = 'fact' and valid_from is not null")
+    t = triples(spark, d, "relation_type = 'fact' and valid_from is not null")
     seq = F.row_number().over(Window.partitionBy("subject_id", "predicate").orderBy("valid_from", "created_at", "id"))
     a = t.select("id", "subject_id", "predicate", _value().alias("value"), "valid_from", seq.alias("seq"), F.lit(True).alias("replaces"))
     return temporal.supersede(a, ["subject_id", "predicate"]).select("id", "valid_from", "valid_until")
@@ -72,19 +72,19 @@ def scd2_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def late_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts in order of arrival: those rejected because they are older than what they would replace, per predicate."""
-    t = triples(spark, d).where("relation_type = 'fact' and valid_from is not null")
+    t = triples(spark, d, "relation_type = 'fact' and valid_from is not null")
     seq = F.row_number().over(Window.partitionBy("subject_id", "predicate").orderBy("created_at", "id"))
     a = t.select("subject_id", "predicate", _value().alias("value"), "valid_from", seq.alias("seq"), F.lit(True).alias("replaces"))
     return temporal.supersede_any(a, ["subject_id", "predicate"]).groupBy("predicate").agg(F.count("*").alias("n"), F.count_if("rejected").alias("n_rejected"))
 
 
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.contradictions(triples(spark, d), _value())
+    return temporal.contradictions(triples(spark, d, "valid_until is null and relation_type = 'fact'"), _value())
 
 
 def triple_pattern(spark: SparkSession, d: str) -> DataFrame:
     """Open facts of one predicate and relation, the most confident first, then the latest."""
-    t = triples(spark, d).where("valid_until is null and predicate = 'maintainer' and relation_type = 'fact'")
+    t = triples(spark, d, "valid_until is null and relation_type = 'fact'").where("predicate = 'maintainer'")
     return t.select("id", F.row_number().over(Window.partitionBy("predicate").orderBy(F.desc("confidence"), F.desc("created_at"), "id")).alias("pos"))
 
 
@@ -94,7 +94,7 @@ def list_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def list_triples(spark: SparkSession, d: str) -> DataFrame:
     """Open facts as text, with the names of both ends."""
-    e, t = entities(spark, d).select("id", "name"), triples(spark, d).where("valid_until is null")
+    e, t = entities(spark, d).select("id", "name"), triples(spark, d, "valid_until is null")
     j = t.join(e.select(F.col("id").alias("subject_id"), F.col("name").alias("s")), "subject_id", "left").join(e.select(F.col("id").alias("object_id"), F.col("name").alias("o")), "object_id", "left")
     return j.select("id", F.md5(render_fact(F.col("s"), F.col("predicate"), F.col("object_value"), F.col("o"), F.col("object_id"))).alias("text_md5"))
 
@@ -104,7 +104,7 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def touched_entities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.touched(entities(spark, d), triples(spark, d).where("relation_type = 'causal'")).select("id")
+    return graph.touched(entities(spark, d), triples(spark, d, "relation_type = 'causal'")).select("id")
 
 
 def duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def neighbours_3(spark: SparkSession, d: str) -> DataFrame:
     """Open triples within three steps of the entities of the first cluster by id, with their depth."""
     c = table(spark, d, "clusters").where("entity_ids <> '[]'").groupBy().agg(F.min(F.struct("id", "entity_ids")).alias("c"))
     start = c.select(F.explode(F.from_json("c.entity_ids", "array<string>")).alias("id"))
-    return graph.neighbourhood(triples(spark, d).where("valid_until is null"), start, 3)
+    return graph.neighbourhood(triples(spark, d, "valid_until is null"), start, 3)
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +177,7 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    e, t = entities(spark, d).select("id", "name"), triples(spark, d).where("valid_until is null")
+    e, t = entities(spark, d).select("id", "name"), triples(spark, d, "valid_until is null")
     j = t.join(e.select(F.col("id").alias("subject_id"), F.col("name").alias("s")), "subject_id", "left").join(e.select(F.col("id").alias("object_id"), F.col("name").alias("o")), "object_id", "left")
     return j.select("id", render_fact(F.col("s"), F.col("predicate"), F.col("object_value"), F.col("o"), F.col("object_id")).alias("text"), "confidence", "created_at", "access_count")
 
@@ -225,29 +225,29 @@ def temporal_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.adjacency(triples(spark, d)).select("src", "dst", F.round("w", 6).alias("w"))
+    return spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null")).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 def weighted_degree(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.weighted_degree(spectral.adjacency(triples(spark, d))).select("id", F.round("degree", 6).alias("degree"))
+    return spectral.weighted_degree(spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null"))).select("id", F.round("degree", 6).alias("degree"))
 
 
 def laplacian_entries(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.laplacian(spectral.adjacency(triples(spark, d))).select("src", "dst", F.round("v", 6).alias("v"))
+    return spectral.laplacian(spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null"))).select("src", "dst", F.round("v", 6).alias("v"))
 
 
 def decay_operator(spark: SparkSession, d: str) -> DataFrame:
-    x = spectral.decay_operator(entities(spark, d), spectral.adjacency(triples(spark, d)), NOW)
+    x = spectral.decay_operator(entities(spark, d), spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null")), NOW)
     return x.select("id", F.round("new_confidence", 6).alias("new_confidence"))
 
 
 def spectral_gap(spark: SparkSession, d: str) -> DataFrame:
-    gap = spectral.spectral_gap(spectral.adjacency(triples(spark, d)))
+    gap = spectral.spectral_gap(spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null")))
     return spark.range(1).select(F.lit(gap).alias("gap"), spectral.radius(F.lit(gap)).alias("radius"))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.clusters(spectral.adjacency(triples(spark, d)))
+    return spectral.clusters(spectral.adjacency(triples(spark, d, "valid_until is null and object_id is not null")))
 
 
 def promote_repeated(spark: SparkSession, d: str) -> DataFrame:
