@@ -223,7 +223,7 @@ def _bm25(docs: str, tok: str, variant: str, ctes: str = "", digits: int = 9) ->
  sc AS (SELECT qid, id, round(sum(qtf * idf * tf * {k + 1} / (tf + {k} * (0.25 + 0.75 * dl / avgdl))), {digits}) AS score FROM p JOIN w USING (term) JOIN i USING (term) GROUP BY qid, id)"""
 
 
-_TOP = " SELECT qid, id, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM sc) WHERE pos <= 10"
+_TOP = " SELECT qid, id, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM sc) WHERE pos <= 10"
 _DOCS = "SELECT doc_id AS id, text FROM documents"
 
 SQL = {
@@ -233,9 +233,9 @@ SQL = {
  SELECT session_id, md5(string_agg(content, chr(10) ORDER BY ts, id) FILTER (role IN ('user', 'human'))) AS user_md5, md5(string_agg(content, chr(10) ORDER BY ts, id)) AS all_md5 FROM x GROUP BY session_id HAVING user_md5 IS NOT NULL""",
     "paired_events": """WITH k AS (SELECT min(event_type) AS a, max(event_type) AS b FROM events), o AS (SELECT user_id, count(*) FILTER (event_type = a) AS x, count(*) FILTER (event_type = b) AS y FROM events, k GROUP BY user_id)
  SELECT user_id, x AS n_opened, least(x, y) AS n_closed FROM o WHERE x > 0""",
-    "tokenize_counts": f"SELECT doc_id, len({TOKENS.format('text')}) AS n_tokens FROM documents",
+    "tokenize_counts": f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS n_tokens FROM documents",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents) GROUP BY term",
-    "token_estimate": f"WITH {M} SELECT id, coalesce(len(regexp_extract_all(content, '[^\\s]+')), 0) AS n_words FROM m",
+    "token_estimate": f"WITH {M} SELECT id, CAST(coalesce(len(regexp_extract_all(content, '[^\\s]+')), 0) AS INTEGER) AS n_words FROM m",
     "extract_names": f"WITH {M}, {_ASCII} SELECT name, count(*) AS n_messages FROM (SELECT unnest({_NAMES}) AS name FROM a) GROUP BY name",
     "extract_quoted": f"""WITH {M}, x AS (SELECT id, regexp_extract_all(metadata, '"([^"]+)"', 1) AS l FROM m) SELECT id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS quoted FROM x""",
     "extract_facts": f"""WITH {M}, {_ASCII}, x AS (SELECT unnest(regexp_extract_all(content, '{_FACT}', 0)) AS w FROM a)
@@ -271,7 +271,7 @@ SQL = {
  wn AS (SELECT doc_id, l, unnest(list_distinct(list_append(range(0, greatest(0, len(l) - 4) + 1, 2), greatest(0, len(l) - 4)))) AS start FROM se WHERE len(l) > 0), """,
     )
     + """, mx AS (SELECT qid, CAST(split_part(id, '#', 1) AS BIGINT) AS parent, max(score) AS score FROM sc GROUP BY ALL)
- SELECT qid, parent, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS pos FROM mx) WHERE pos <= 10""",
+ SELECT qid, parent, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS pos FROM mx) WHERE pos <= 10""",
     "competition_ranks": "SELECT court, doc_id, CAST(rank() OVER (PARTITION BY court ORDER BY n_chars DESC) AS INTEGER) AS rank FROM documents",
     "resolve_entities": f"""WITH {M}, {_ASCII}, n AS (SELECT lower(trim(unnest(list_concat(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), regexp_extract_all(content, '"([^"]+)"', 1))))) AS k, ts FROM a),
  n2 AS (SELECT k, min(ts) AS ts FROM n WHERE length(k) > 2 AND trim(k) <> '' GROUP BY k),
@@ -282,7 +282,7 @@ SQL = {
 }
 
 _O, _P = _bm25(_DOCS, TOKENS, "okapi"), _bm25(_DOCS, TOKENS, "plus")
-SQL["rrf_fusion"] = f"""SELECT qid, id, round(score, 6) AS score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM (
+SQL["rrf_fusion"] = f"""SELECT qid, id, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM (
  SELECT qid, id, round(sum(1.0 / (59 + p)), 9) AS score FROM (
   SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS p FROM ({_O} SELECT * FROM sc) UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) FROM ({_P} SELECT * FROM sc))
  WHERE p <= 50 GROUP BY qid, id)) WHERE pos <= 10"""
