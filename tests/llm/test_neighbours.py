@@ -53,3 +53,11 @@ def test_dirty_vectors(spark):
     probes = spark.createDataFrame([("a", "g1"), ("a", "g1"), ("a", "z"), ("a", "unknown")], "tbl string, id string")
     assert {r.id for r in nearest(df, probes, k=2, dim=3).collect()} == {"g1"}
     assert nearest(df.limit(0), None, dim=3).count() == 0
+
+
+def test_a_third_of_equal_vectors(spark):
+    v = clustered(1000, 8, 6)
+    rows = [("a", f"v{i:05}", [float(x) for x in v[i]]) for i in range(1000)] + [("a", f"e{i:05}", [float(x) for x in v[0]]) for i in range(500)]
+    got = nearest(frame(spark, rows), spark.createDataFrame([("a", "e00001"), ("a", "v00500")], "tbl string, id string"), dim=8, shard_rows=60).collect()
+    equal = [r for r in got if r.id == "e00001"]
+    assert len(equal) == 10 and all(r.sim > 0.9999 for r in equal) and len([r for r in got if r.id == "v00500"]) == 10
