@@ -54,6 +54,7 @@ class Automaton:
         self.owner: list[tuple[int, int]] = []  # item and place of each word
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.end, self.children = [-1], [0], [-1], None
+        self.known: dict[int, list[int]] = {}
         last = 0
         for k, (_, words) in enumerate(self.items):
             for p, w in enumerate(words):
@@ -87,6 +88,8 @@ class Automaton:
 
     def ends(self, state: int) -> list[int]:
         """Places in the sequence where the state's string ends."""
+        if state in self.known:
+            return self.known[state]
         if self.children is None:
             self.children = [[] for _ in self.next]
             for s, up in enumerate(self.link):
@@ -98,13 +101,14 @@ class Automaton:
             if self.end[s] >= 0:
                 out.append(self.end[s])
             todo += self.children[s]
+        self.known[state] = out
         return out
 
-    def matches(self, words: list[str], seed: int) -> Iterator[tuple[int, int, int]]:
-        """Maximal exact matches of at least ``seed`` words: the place after the last word, the length, the state."""
+    def matches(self, codes: list[int | None], seed: int) -> Iterator[tuple[int, int, int]]:
+        """Maximal exact matches of at least ``seed`` words, given as their codes: the place after the last word, the length, the state."""
         nxt, link, length = self.next, self.link, self.length
         state = held = 0
-        for at, code in enumerate(map(self.codes.get, words)):
+        for at, code in enumerate(codes):
             if code is None:
                 if held >= seed:
                     yield at, held, state
@@ -123,21 +127,27 @@ class Automaton:
             state = to
             held += 1
         if held >= seed:
-            yield len(words), held, state
+            yield len(codes), held, state
 
     def spans(self, words: list[str], seed: int, min_words: int) -> list[tuple[int, int, int, int]]:
         """Item, its words matched, first and last word (exclusive) in the document."""
-        codes, found = None, {}
-        for at, held, state in self.matches(words, seed):
-            if codes is None:
-                codes = [self.codes.get(w) for w in words]
+        codes, seq, found = list(map(self.codes.get, words)), self.seq, {}
+        size = len(words)
+        for at, held, state in self.matches(codes, seed):
+            before = at - held - 1
             for e in self.ends(state):
                 k, p = self.owner[e]
                 first, item = e - p, self.items[k][1]
+                n, r, left = len(item), p + 1, p - held
+                if held < min_words and held < n and not (  # too short, and no way on to either side
+                    (r < n and at + 1 < size and ((r + 1 < n and codes[at + 1] == seq[first + r + 1]) or words[at] + words[at + 1] == item[r]))
+                    or (left >= 0 and before >= 1 and ((left >= 1 and codes[before - 1] == seq[first + left - 1]) or words[before - 1] + words[before] == item[left]))
+                ):
+                    continue
                 if any(a <= at - 1 < b and c <= p < d for a, b, c, d in found.get(k, ())):
                     continue
-                right_doc, right = self._grow(words, codes, item, at, first, p + 1, len(item), 1)
-                left_doc, left = self._grow(words, codes, item, at - held - 1, first, p - held, len(item), -1)
+                right_doc, right = self._grow(words, codes, item, at, first, r, n, 1)
+                left_doc, left = self._grow(words, codes, item, before, first, left, n, -1)
                 found.setdefault(k, []).append((left_doc + 1, right_doc, left + 1, right))
         out = []
         for k, runs in found.items():

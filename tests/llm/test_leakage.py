@@ -39,7 +39,7 @@ def test_automaton_against_brute_force():
 
 def test_longest_match_lengths():
     a = Automaton([(1, "x y z x y"), (2, "y z z")])
-    assert [(at, n) for at, n, _ in a.matches("x y z z q y z x y".split(), 1)] == [(3, 3), (4, 3), (9, 4)]
+    assert [(at, n) for at, n, _ in a.matches([a.codes.get(w) for w in "x y z z q y z x y".split()], 1)] == [(3, 3), (4, 3), (9, 4)]
 
 
 def test_damage_is_tolerated():
