@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns and word lists. Letters, digits and underscore are spelled out, as \w is ASCII in some engines.
+# Patterns and word lists. Letters, digits and underscore, their bounds and white space are spelled out, as \w, \b and \s are ASCII in some engines.
 WORD = r"[\p{L}\p{N}_]+"
-NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+BEFORE, AFTER, BLANK = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])", r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+NAME = rf"{BEFORE}([A-Z][a-z]+(?:{BLANK}[A-Z][a-z]+)*){AFTER}"
 QUOTED = r'"([^"]+)"'
-FACT = r"(?i)\b(\w+(?:\s+\w+)?)\s+(uses?|is|was|has|prefers?|decided|switched to|moved to)\s+(\w+(?:\s+\w+)?)\b"
+FACT = rf"(?i){BEFORE}({WORD}(?:{BLANK}{WORD})?){BLANK}(uses?|is|was|has|prefers?|decided|switched to|moved to){BLANK}({WORD}(?:{BLANK}{WORD})?){AFTER}"
 FACT_VERB = r"(?i)\s(uses?|is|was|has|prefers?|decided|switched to|moved to)\s"
 SECRET = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{16,}|(?i:(api[_-]?key|password|secret|token)\s*[:=]\s*\S{6,}))"
 GLOBAL_CUE = r"(?i)\b(i (always |usually )?(prefer|like|want|use)|my (preference|default)|always use|never use|call me)\b"
@@ -31,10 +32,6 @@ def token_estimate(c: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0))), F.lit(0))
 
 
-def is_ascii(c: Column) -> Column:
-    return ~c.rlike(r"[^\x00-\x7F]")
-
-
 def proper_names(c: Column) -> Column:
     """Runs of capitalised words, longer than two letters, first occurrences in order."""
     return F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(NAME), F.lit(1)), lambda x: F.length(x) > 2))

@@ -17,8 +17,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-def _ascii(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).where(X.is_ascii(F.col("content")))
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    return messages(spark, d).where("content is not null")
 
 
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_names(spark: SparkSession, d: str) -> DataFrame:
-    return _ascii(spark, d).select(F.explode(X.proper_names(F.col("content"))).alias("name")).groupBy("name").agg(F.count("*").alias("n_messages"))
+    return _said(spark, d).select(F.explode(X.proper_names(F.col("content"))).alias("name")).groupBy("name").agg(F.count("*").alias("n_messages"))
 
 
 def extract_quoted(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def extract_quoted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    f = _ascii(spark, d).select(F.explode(X.facts(F.col("content"))).alias("f")).select("f.*")
+    f = _said(spark, d).select(F.explode(X.facts(F.col("content"))).alias("f")).select("f.*")
     return f.groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
 
 
@@ -155,14 +155,14 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_assertions(spark: SparkSession, d: str) -> DataFrame:
     """Facts extracted from all messages, superseding each other, in order of arrival."""
-    a = ingest.assertions(ingest.extract(_ascii(spark, d)))
+    a = ingest.assertions(ingest.extract(_said(spark, d)))
     a = temporal.supersede(a.withColumnRenamed("object_key", "value"), ["subject_key", "predicate"])
     return a.select("subject_key", "predicate", "value", "links", "valid_from", "valid_until")
 
 
 def resolve_entities(spark: SparkSession, d: str) -> DataFrame:
     """Names in messages against the stored entities."""
-    m = ingest.extract(_ascii(spark, d)).select(F.explode("names").alias("name"), F.lit(None).cast("string").alias("entity_type"), F.col("timestamp").alias("at"))
+    m = ingest.extract(_said(spark, d)).select(F.explode("names").alias("name"), F.lit(None).cast("string").alias("entity_type"), F.col("timestamp").alias("at"))
     r = ingest.resolve(m, entities(spark, d))
     return r.select("name_key", "entity_type", F.round("created_at", 3).alias("created_at"), "is_new")
 
@@ -185,7 +185,7 @@ def paired_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cooccurrence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    items = _ascii(spark, d).select(F.col("id").alias("grp"), X.proper_names(F.col("content")).alias("names"))
+    items = _said(spark, d).select(F.col("id").alias("grp"), X.proper_names(F.col("content")).alias("names"))
     return consolidation.cooccurrence(items)
 
 
@@ -198,6 +198,7 @@ QUERIES = {
     )
 }
 
+# the SQL of names, facts, entities and pairs reads only ASCII messages, as its \\b is ASCII; the queries read all
 _ASCII = "a AS (SELECT * FROM m WHERE NOT regexp_matches(content, '[^\\x00-\\x7F]'))"
 _NAMES = "list_filter(list_distinct(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)), lambda x: length(x) > 2)"
 _FIRST = "list_filter(list_filter(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x, i: list_position(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), x) = i), lambda x: length(x) > 2)"

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from sediment.functions.strings import deletions, near, within_one_edit
 from sediment.operators import compression, consolidation, dense, evaluation, graph, ingest, retrieval, spectral, temporal
 from sediment.operators.components import components
 from sediment.operators.lexical import bm25, bm25_many, top_k
+from sediment.plans import texts
 from sediment.sources import archive, store
 
 TRIPLE = "id string, subject_id string, predicate string, object_id string, object_value string, relation_type string, confidence double, valid_from double, valid_until double, source_ref string, created_at double, access_count bigint"
@@ -32,6 +34,35 @@ def test_text_functions(spark):
     assert r[1].n == 0 and r[2].n == 0 and r[2].t == []
 
 
+ACCENTED = [
+    "Ada Byron uses Zoë_9 daily — Kent",
+    "José moved to Łódź. Élan Vital and CaféNord, MÉlan",
+    "René Descartes\u00a0Quill prefers größere Städte",
+    "naïve Bob\u2003Stone is Über klug; Émile has 3½ Äpfel",
+    "Plain Text was Here",
+    "Caf\u0301 Cafe\u0301 uses Tea, Garc\u00eda Marquez switched to Kraków",
+    None,
+    "",
+]
+PY_NAME = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+PY_FACT = r"\b(\w+(?:\s+\w+)?)\s+(uses?|is|was|has|prefers?|decided|switched to|moved to)\s+(\w+(?:\s+\w+)?)\b"
+
+
+def test_texts_with_accents_against_python(spark, tmp_path):
+    rows = [(f"m{i}", float(i), "user", "s", c, "{}") for i, c in enumerate(ACCENTED)]
+    spark.createDataFrame(rows, "id string, timestamp double, role string, session_id string, content string, metadata string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([("e0", "Ada Byron", "person", 0.0, 1.0, 0, 0.0)], "id string, name string, entity_type string, created_at double, confidence double, access_count bigint, last_accessed double").write.parquet(str(tmp_path / "entities.parquet"))
+    names = [list(dict.fromkeys(m for m in re.findall(PY_NAME, c or "") if len(m) > 2)) for c in ACCENTED]
+    found = [(s, p.lower().replace(" ", "_"), o) for c in ACCENTED for s, p, o in re.findall(PY_FACT, c or "", re.I)]
+    d = str(tmp_path)
+    assert {r.name: r.n_messages for r in texts.extract_names(spark, d).collect()} == Counter(n for l in names for n in l)
+    assert {(r.subject, r.predicate, r.object): r.n for r in texts.extract_facts(spark, d).collect()} == Counter(found)
+    assert {(r.subject_key, r.predicate, r.value) for r in texts.ingest_assertions(spark, d).collect()} == {(s.lower(), p, o.lower()) for s, p, o in found}
+    assert {r.name_key for r in texts.resolve_entities(spark, d).collect()} == {n.lower() for l in names for n in l}
+    pairs = Counter((min(a, b), max(a, b)) for l in names for i, a in enumerate(l) for b in l[i + 1 : i + 5])
+    assert {(r.a, r.b): r.n for r in texts.cooccurrence_pairs(spark, d).collect()} == pairs
+
+
 def test_edit_distance(spark):
     pairs = [("abcd", "abcd"), ("abcd", "abed"), ("abcd", "acbd"), ("abcd", "abc"), ("abcd", "abxcd"), ("abcd", "axxd"), ("abcd", "badc"), ("", "a")]
     for a, b in pairs:
