@@ -3,7 +3,8 @@
 Vectors are spread over cells around centroids fitted on a bounded sample; every vector is indexed, a cell of more than
 ``shard_rows`` vectors is split into shards. Each shard builds a hierarchical navigable small-world graph, kept as flat
 neighbour arrays: levels drawn at random, candidates of each node thinned to a diverse set, links in both directions. A
-query is sent to the shards of its ``probes`` nearest cells, walks their graphs, and the shards' answers are merged.
+query is sent to the shards of its nearest cells, of which more are probed the more there are, walks their graphs, and the
+shards' answers are merged.
 """
 
 from __future__ import annotations
@@ -170,7 +171,8 @@ def nearest(
 
     Vectors that are null, of another length, with a null or non-finite value or all zero are left out, as probes too. An id
     stored twice counts once; ties go to the smaller id. Fewer than ``k`` others give fewer rows, an empty input none. Only
-    the centroids rest on a sample, of at most ``sample_rows`` vectors for each table; all vectors are indexed. ``query_type`` is the
+    the centroids rest on a sample, of at most ``sample_rows`` vectors for each table; all vectors are indexed. A query goes to
+    ``cells_probed`` cells, or to twice the root of their number if that is more; neighbours in other cells are missed. ``query_type`` is the
     precision in which queries travel to the shards (``f2`` halves what is shuffled when every vector is a query).
     """
     spark = vectors.sparkSession
@@ -185,7 +187,7 @@ def nearest(
         centres[tbl] = _centroids(sample, min(cells, max(1, len(sample) // 10))) if len(sample) else np.zeros((1, dim), np.float32)
     sent = spark.sparkContext.broadcast(centres)  # rows / shard_rows centroids
 
-    def place(width: int, kind: str = "f4"):
+    def place(width: int, kind: str = "f4", grows: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, v = unit_rows(batch["vec"], dim)
@@ -194,7 +196,7 @@ def nearest(
                 for name in sorted(set(tbl)):
                     own = np.flatnonzero(tbl == name)
                     c, x = sent.value[name], v[own]
-                    w = min(width, len(c))
+                    w = min(max(width, math.ceil(2 * math.sqrt(len(c)))) if grows else width, len(c))
                     s = x @ c.T
                     cell = np.argpartition(-s, w - 1, axis=1)[:, :w] if w < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
                     raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
@@ -210,7 +212,7 @@ def nearest(
     sizes = placed.groupBy("tbl", "cell").agg(F.count("*").alias("n"))
     splits = small_side(sizes.select("tbl", "cell", F.ceil(F.col("n") / (2 * shard_rows)).cast("int").alias("splits")))
     asked = src if probes is None else src.join(probes.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi")
-    asked = asked.dropDuplicates(["tbl", "id"]).mapInArrow(place(cells_probed, query_type), schema)
+    asked = asked.dropDuplicates(["tbl", "id"]).mapInArrow(place(cells_probed, query_type, True), schema)
     asked = asked.join(splits, ["tbl", "cell"]).withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
     indexed = placed.join(splits, ["tbl", "cell"]).withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
     keys = ["tbl", "cell", "split"]

@@ -61,3 +61,17 @@ def test_a_third_of_equal_vectors(spark):
     got = nearest(frame(spark, rows), spark.createDataFrame([("a", "e00001"), ("a", "v00500")], "tbl string, id string"), dim=8, shard_rows=60).collect()
     equal = [r for r in got if r.id == "e00001"]
     assert len(equal) == 10 and all(r.sim > 0.9999 for r in equal) and len([r for r in got if r.id == "v00500"]) == 10
+
+
+def test_more_cells_are_probed_where_there_are_more(spark):
+    v = clustered(3000, 16, 8)
+    rows = [("a", f"v{i:05}", [float(x) for x in v[i]]) for i in range(len(v))]
+    probes = spark.createDataFrame([("a", f"v{i:05}") for i in range(400)], "tbl string, id string")
+    mine = {}
+    for r in nearest(frame(spark, rows), probes, dim=16, shard_rows=40, cells_probed=4).collect():  # 98 cells
+        mine.setdefault(r.id, set()).add(r.neighbour_id)
+    s = v[:400] @ v.T
+    s[np.arange(400), np.arange(400)] = -2
+    want = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len({f"v{j:05}" for j in want[i]} & mine[f"v{i:05}"]) / 10 for i in range(400)]) >= 0.95
+
