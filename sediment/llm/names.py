@@ -2,7 +2,8 @@
 
 A name is taken apart: titles and legal forms go; a person has a family name and a given name, an initial or a familiar form;
 an organisation a proper name and a line of business. Equal parts make a profile. Profiles block on their name with one
-letter left out, each block is linked to its strongest member, and merged profiles pool their spellings and initials. The
+letter left out and on the letter's place, or on the letter itself where it moved, so all of a block are one edit apart; each
+block is linked to its strongest member, and merged profiles pool their spellings and initials. The
 richer profiles go back into blocking, where initials and familiar forms look for the one member of the family that fits,
 until a round brings no merge.
 """
@@ -154,7 +155,19 @@ def _fits(part, hint):
     )
 
 
-def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, max_rounds: int = 5) -> DataFrame:
+def _one_off(core):
+    """Keys that strings one edit apart share: the string without a letter, and that letter's place or the letter; the string itself for every place of a letter too many."""
+    n, none = F.length(core), F.lit(None)
+    cut_at = lambda i: F.concat(F.substr(core, F.lit(1), i - 1), F.substr(core, i + 1))
+    key = lambda text, place, letter: F.struct(text.alias("text"), place.cast("int").alias("place"), letter.cast("string").alias("letter"))
+    places = F.sequence(F.lit(1), n)
+    replaced = F.transform(places, lambda i: key(cut_at(i), i, none))
+    moved = F.array_distinct(F.transform(places, lambda i: key(cut_at(i), none, F.substr(core, i, F.lit(1)))))
+    added = F.transform(F.sequence(F.lit(1), n + 1), lambda i: key(core, i, none))
+    return F.when(n > 0, F.concat(replaced, moved, added))
+
+
+def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2) -> DataFrame:
     """Groups of entities that mean the same person or organisation: ``id`` and ``grp``, for every id with a usable name.
 
     ``entities``: ``id``, ``name``, ``entity_type``; ``given_names``: ``full_name``, ``short_name`` (at most 100,000 rows). Two names one
@@ -182,9 +195,9 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, max_r
     parsed = cut(parsed.withColumn("pid", F.xxhash64("kind", "core", "part", "hint")))
     strength = parsed.groupBy("kind", "core").agg(F.count("*").alias("strength"))
     profiles = cut(parsed.groupBy("pid", "kind", "core", "part", "hint").agg(F.count("*").alias("n")).join(strength, ["kind", "core"]))
-    # misspelt names: blocks of equal given name or line, and equal core but for a letter; each block is a star
-    block = F.xxhash64("kind", "part", "hint", "_d")
-    blocked = profiles.where(F.length("core") >= 5).withColumn("_d", F.explode(deletions(F.col("core")))).withColumn("_k", block)
+    # misspelt names: blocks of equal given name or line, and equal core but for a letter at one place (or the core without it), or a letter that moved; each block is a star
+    block = F.xxhash64("kind", "part", "hint", "_d.text", "_d.place", "_d.letter")
+    blocked = profiles.withColumn("_d", F.explode(_one_off(F.col("core")))).withColumn("_k", block)
     heads = blocked.groupBy("_k").agg(F.max(F.struct("strength", "n", "core", "pid")).alias("h"), F.count("*").alias("c")).where("c > 1").select("_k", "h")
     edges = (
         blocked.join(heads, "_k")
@@ -195,7 +208,7 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, max_r
     edges = cut(edges)
     hints = profiles.where("kind = 'person' and hint <> '' and length(core) >= 3").select("pid", "core", "hint")
     label = cut(components(edges))
-    for _ in range(max_rounds):
+    while True:  # a round's links give free groups a given name, so free ones grow fewer
         merged = profiles.join(label, profiles.pid == label.node, "left").withColumn("grp", F.coalesce("component", "pid"))
         # a merged profile has the spellings of all its members, and their given name
         named = merged.where("part <> ''").groupBy("grp").agg(F.max("part").alias("part"))

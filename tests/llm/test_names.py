@@ -1,3 +1,9 @@
+import random
+
+from pyspark.sql import functions as F
+
+from sediment.functions.strings import within_one_edit
+from sediment.llm import names
 from sediment.llm.names import Parser, link_names, linked_pairs
 
 GIVEN = [("Theodora", "Teddy"), ("Ulrich", "Udo"), ("Ulrich", "Uli"), ("Jeremias", "Mias"), ("Leopoldine", "Leo"), ("Ursulina", "Ulla"), (None, None)]
@@ -57,3 +63,26 @@ def test_a_third_of_equal_names(spark):
     g = link_names(spark.createDataFrame(rows, "id string, name string, entity_type string"), given, rare=0)
     sizes = sorted(r["count"] for r in g.groupBy("grp").count().collect())
     assert sizes[-1] == 2000 and set(sizes[:-1]) == {1}
+
+
+def test_all_one_edit_apart_are_linked(spark):
+    # marino and marine share only a block with the more frequent martin; short names; a swap and a letter that moved
+    often = [("Ulrich Martin", 9), ("Ulrich Kors", 9), ("Ulrich Teplorano", 9)]
+    once = ["Ulrich Marino", "Ulrich Marine", "Ulrich Kort", "Ulrich Teplroano", "Ulrich Zabu", "Ulrich Zabo"]
+    rows = [(f"e{i:03}", n, "person") for i, n in enumerate([n for n, k in often for _ in range(k)] + once)]
+    given = spark.createDataFrame(GIVEN, "full_name string, short_name string")
+    name_of, groups = {r[0]: r[1] for r in rows}, {}
+    for r in link_names(spark.createDataFrame(rows, "id string, name string, entity_type string"), given).collect():
+        groups.setdefault(r.grp, set()).add(name_of[r.id].split()[1])
+    assert sorted(map(sorted, groups.values())) == [["Kors", "Kort"], ["Marine", "Marino"], ["Martin"], ["Teplorano", "Teplroano"], ["Zabo", "Zabu"]]
+
+
+def test_keys_are_shared_by_all_one_edit_apart(spark):
+    rng = random.Random(5)
+    ws = sorted({"".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(120)})
+    df = spark.createDataFrame([(w,) for w in ws], "w string").select("w", names._one_off(F.col("w")).alias("k"))
+    keys = {r.w: {tuple(k) for k in r.k} for r in df.collect()}
+    for a in ws:
+        for b in ws:
+            if a < b and within_one_edit(a, b):
+                assert keys[a] & keys[b], (a, b)
