@@ -101,12 +101,13 @@ def recall_facts(facts: DataFrame, queries: DataFrame, now: float, k: int = 10,
     """
     lexical = bm25(facts.select("id", "text"), queries)
     empty = lexical.select("qid", "id", F.lit(0.0).alias("score"))
-    fused = stage1(dense if dense is not None else empty, lexical).where("score > 0")
-    # what can still reach the answer: the candidates and, after weighting by at most 1.1 / 0.6, enough of the rest
-    kept = top_k(fused.select("qid", "id", "score"), max(CANDIDATES[mode], k) * 4).drop("pos")
-    kept = kept.join(facts, "id").join(queries.select("qid", F.col("text").alias("query")), "qid")
-    kept = kept.withColumn("rerank", overlap_scorer(kept))
-    out = final_blend(kept, CANDIDATES[mode])
+    fused = cut(stage1(dense if dense is not None else empty, lexical).where("score > 0").select("qid", "id", "score"))
+    best = top_k(fused, CANDIDATES[mode]).drop("pos").join(facts.select("id", "text"), "id").join(queries.select("qid", F.col("text").alias("query")), "qid")
+    best = cut(final_blend(best.withColumn("rerank", overlap_scorer(best)), CANDIDATES[mode]).select("qid", "id", "score", "final"))
+    # every other scored fact stays below the candidates in its order, as in final_blend, until all are weighted
+    bounds = best.groupBy("qid").agg(F.max("score").alias("_top"), F.min("final").alias("_least"))
+    out = fused.join(best.select("qid", "id", "final"), ["qid", "id"], "left").join(bounds, "qid").join(facts.select("id", "confidence", "created_at", "access_count"), "id")
+    out = out.withColumn("final", F.coalesce("final", F.col("score") / F.col("_top") * F.col("_least") * 0.99))
     out = out.withColumn("score", F.col("final") * decay(F.lit(now) - F.col("created_at"), F.col("access_count")) * F.coalesce("confidence", F.lit(1.0)))
     return top_k(out.select("qid", "id", "score"), k)
 

@@ -34,6 +34,13 @@ def test_text_functions(spark):
     assert r[1].n == 0 and r[2].n == 0 and r[2].t == []
 
 
+def test_confident_facts_among_many_equal_ones(spark):
+    rows = [(f"f{i:03}", "Ada uses ledger", 0.01 if i < 90 else 1.0, 0.0, 0) for i in range(110)] + [(f"g{i:03}", "Bob has boat", 1.0, 0.0, 0) for i in range(200)]
+    facts = spark.createDataFrame(rows, "id string, text string, confidence double, created_at double, access_count bigint")
+    r = retrieval.recall_facts(facts, spark.createDataFrame([(1, "who uses ledger")], "qid int, text string"), 100.0).orderBy("pos").collect()
+    assert [x.id for x in r] == [f"f{i:03}" for i in range(90, 100)] and [x.pos for x in r] == list(range(1, 11))
+
+
 ACCENTED = [
     "Ada Byron uses Zoë_9 daily — Kent",
     "José moved to Łódź. Élan Vital and CaféNord, MÉlan",
