@@ -52,12 +52,10 @@ def merge_periods(df: DataFrame, keys: Sequence[str], same: bool = False, hot_ro
     cols = [*keys, "s", "e", "shared", *(["tag"] if same else [])]
     df = df.select(*cols).dropna(subset=[*keys, "s", "e"])
     hot = hot_keys(df, keys, hot_rows)
-    if not hot:
+    if hot is None:
         return _with_next(_islands(df, keys, same), keys, same)
-    spark = df.sparkSession
-    crowded = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))  # bounded by hot_keys
-    cold = _with_next(_islands(df.join(crowded, keys, "left_anti"), keys, same), keys, same)
-    return cold.unionByName(_merge_hot(df.join(crowded, keys, "left_semi"), keys, same, shards))
+    cold = _with_next(_islands(df.join(hot, keys, "left_anti"), keys, same), keys, same)
+    return cold.unionByName(_merge_hot(df.join(hot, keys, "left_semi"), keys, same, shards))
 
 
 def _with_next(islands: DataFrame, part: Sequence[str], same: bool) -> DataFrame:

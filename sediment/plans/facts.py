@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.functions.keys import end_or_open, norm_id, norm_predicate, object_key, show_end, valid_period
-from sediment.operators.history import history
+from sediment.operators.history import HistoryStore
 from sediment.operators.intervals import merge_periods, periods_and_gaps
 from sediment.operators.references import find_broken
-from sediment.session import small_side
+from sediment.session import scratch, small_side
 from sediment.sources.tables import table
 
 KEYS = ["subject_id", "predicate"]
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
+def _merged(spark: SparkSession, d: str, hot_rows: int = 500_000) -> DataFrame:
     t = table(spark, d, "triples").where(valid_period(F.col("valid_from"), F.col("valid_until")))
     t = t.select(
         norm_id(F.col("subject_id")).alias("subject_id"),
@@ -26,14 +26,19 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     )
     # records with one start share time, unless they are the same record stored again
     t = t.groupBy(*KEYS, "s").agg(F.max("e").alias("e"), (F.min("h") != F.max("h")).alias("shared"))
-    return merge_periods(t, KEYS)
+    return merge_periods(t, KEYS, hot_rows=hot_rows)
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    out = periods_and_gaps(_merged(spark, d), KEYS).where("kind = 'gap' or shared")
+def p3_found(spark: SparkSession, d: str, hot_rows: int = 500_000) -> DataFrame:
+    out = periods_and_gaps(_merged(spark, d, hot_rows), KEYS).where("kind = 'gap' or shared")
     return out.select(*KEYS, "kind", "from_s", show_end(F.col("until_s")).alias("until_s"))
 
 
+def p3_sharded(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, but every key of more than twenty records goes the way of huge ones: cut into time shards, merged there, stitched."""
+    return p3_found(spark, d, 20)
+
+
 def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Of each predicate: merged periods, gaps, and seconds covered by closed periods and lost in gaps."""
     p = periods_and_gaps(_merged(spark, d), KEYS)
@@ -82,7 +87,8 @@ def p5_by_period(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy(target.alias("target_table"), "ref_field", "ref_status", "period").agg(F.count("*").alias("n_refs"))
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    """Records of stateful attributes, and the start of the last month in which any was made."""
     t = table(spark, d, "triples")
     last = t.where(F.abs("created_at") < 1e11).agg(F.date_trunc("month", F.timestamp_seconds(F.max("created_at"))).cast("double").alias("m")).first()
     kinds = table(spark, d, "predicate_kinds").where("kind = 'stateful'").select(norm_predicate(F.col("predicate")).alias("predicate")).distinct()
@@ -98,18 +104,20 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
         )
         .join(small_side(kinds), "predicate", "left_semi")
     )
-    return history(records, KEYS, last.m or 0.0)
+    return records, last.m or 0.0
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    h = _history(spark, d)
-    from pyspark.sql import Window
-
-    h = h.withColumn("n", F.count("*").over(Window.partitionBy(*KEYS))).where("n > 1")
+    """The history kept from two snapshots: of what was recorded before the last month, and of all."""
+    records, month = _records(spark, d)
+    kept = HistoryStore(spark, scratch(spark, "history"), KEYS)
+    kept.update(records.where(F.col("created") < month))
+    kept.update(records)
+    h = kept.read().withColumn("n", F.count("*").over(Window.partitionBy(*KEYS))).where("n > 1")
     return h.select(*KEYS, F.col("s").alias("from_s"), show_end(F.col("e")).alias("until_s"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_coverage, p5_found, p5_by_period, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_sharded, p3_coverage, p5_found, p5_by_period, p6_found)}
 
 _T = """t AS (
   SELECT DISTINCT lower(trim(id)) AS id, lower(trim(subject_id)) AS subject_id, translate(lower(trim(predicate)), ' -', '__') AS predicate,
@@ -158,3 +166,5 @@ SQL = {
  SELECT subject_id, predicate, s AS from_s, CASE WHEN e = 9223372036854775807 THEN -1 ELSE e END AS until_s FROM v
  QUALIFY count(*) OVER (PARTITION BY subject_id, predicate) > 1""",
 }
+
+SQL["p3_sharded"] = SQL["p3_found"]

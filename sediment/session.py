@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run, in the shared folder for checkpoints."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint, which survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
@@ -54,14 +60,10 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int, most: int = 10_000) -> list[dict]:
-    """Keys with more than ``hot_rows`` rows, at most ``most`` of them: if there are more, the limit is raised, as a cluster with so many large keys is kept busy by them one by one."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    while True:
-        hot = counts.where(F.col("_n") > hot_rows).select(*keys).limit(most + 1).collect()
-        if len(hot) <= most:
-            return [r.asDict() for r in hot]
-        hot_rows *= 4
+def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, however many there are, to join with: broadcast only if they are few (see small_side). None if no key is hot."""
+    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys))
+    return small_side(hot) if hot.take(1) else None
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from sediment.functions.keys import OPEN
-from sediment.operators.history import changed_keys, history
+from sediment.operators.history import HistoryStore, differing_leaves, merkle
 
 SCHEMA = "k string, p string, created double, s bigint, e bigint, tag bigint, old int, new string, _r int"
 
@@ -33,8 +33,12 @@ def brute(rows):
     return sorted(out)
 
 
+def rows_of(store):
+    return sorted(map(tuple, store.read().select("k", "p", "s", "e", "tag").collect()))
+
+
 @pytest.mark.parametrize("hot_rows", [10**6, 25])
-def test_against_a_fold(spark, hot_rows):
+def test_snapshots_against_a_fold(spark, tmp_path, hot_rows):
     rng = random.Random(hot_rows)
     rows = []
     for k in ("a", "b", "c", "d"):
@@ -42,20 +46,53 @@ def test_against_a_fold(spark, hot_rows):
             s = rng.randrange(60 if k != "a" else 200)
             rows.append((k, "p", rng.choice([None, float(rng.randrange(100))]), s, rng.choice([OPEN, s + rng.randrange(1, 30)]), rng.randrange(2)))
     rows += rows[:10] + [(None, "p", 1.0, 1, 2, 1), ("z", "p", 1.0, None, 2, 1)]
-    got = history(frame(spark, rows), ["k", "p"], 50.0, hot_rows=hot_rows).select("k", "p", "s", "e", "tag").collect()
-    assert sorted(map(tuple, got)) == brute(rows)
+    store = HistoryStore(spark, str(tmp_path / "h"), ["k", "p"], leaf_rows=2, hot_rows=hot_rows)
+    for held in ([r for r in rows if (r[2] or 0) < 50], rows, rows, [r for r in rows if r[0] != "c"]):
+        store.update(frame(spark, held))
+        assert rows_of(store) == brute(held)
+
+
+def test_only_changed_keys_are_appended_and_read(spark, tmp_path):
+    first = [(f"k{i}", "p", 1.0, 1, OPEN, i % 3) for i in range(3000)]
+    store = HistoryStore(spark, str(tmp_path / "h"), ["k", "p"], leaf_rows=4)
+    store.update(frame(spark, first))
+    second = first[5:] + [("k7", "p", 9.0, 5, OPEN, 9), ("new", "p", 1.0, 1, 2, 1)]
+    store.update(frame(spark, second))
+    appended = spark.read.parquet(f"{store.path}/versions/batch=1")
+    # five keys are gone, one is new, one has a second version; nothing else was written
+    assert {(r.k, r.s) for r in appended.collect()} == {(f"k{i}", None) for i in range(5)} | {("k7", 1), ("k7", 5), ("new", 1)}
+    assert spark.read.parquet(f"{store.path}/differing").count() <= 7 and spark.read.parquet(f"{store.path}/changed").count() == 7
+    assert rows_of(store) == brute(second)
+    store.update(frame(spark, second))
+    assert spark.read.parquet(f"{store.path}/versions/batch=2").count() == 0 and rows_of(store) == brute(second)
+
+
+def test_tree_grows_with_the_snapshot(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "h"), ["k", "p"], leaf_rows=1)
+    store.update(frame(spark, [("a", "p", 1.0, 1, OPEN, 1)]))
+    rows = [(f"k{i}", "p", 1.0, 1, OPEN, 1) for i in range(600)] + [("a", "p", 1.0, 1, OPEN, 1)]
+    store.update(frame(spark, rows))
+    assert [b for _, b in store.batches()] == [4, 12] and rows_of(store) == brute(rows)
+    assert "a" not in {r.k for r in spark.read.parquet(f"{store.path}/versions/batch=1").collect()}
 
 
-def test_only_keys_of_the_second_snapshot_are_appended(spark):
-    rows = [("a", "p", 1.0, 1, OPEN, 1), ("b", "p", 1.0, 1, OPEN, 1), ("b", "p", 9.0, 5, OPEN, 2)]
-    got = {(r.k, r.s): r.appended for r in history(frame(spark, rows), ["k", "p"], 5.0).collect()}
-    assert got == {("a", 1): False, ("b", 1): True, ("b", 5): True}
-    assert history(frame(spark, []), ["k", "p"], 5.0).count() == 0
+def test_empty_snapshots(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "h"), ["k", "p"])
+    store.update(frame(spark, []))
+    assert rows_of(store) == []
+    rows = [("a", "p", 1.0, 1, OPEN, 1)]
+    store.update(frame(spark, rows))
+    assert rows_of(store) == brute(rows)
+    store.update(frame(spark, []))
+    assert rows_of(store) == []
 
 
-def test_tree_finds_exactly_the_changed_keys(spark):
+def test_trees_differ_exactly_where_rows_do(spark):
     rng = random.Random(5)
-    rows = [(f"k{i}", rng.randrange(5), rng.randrange(5)) for i in range(3000)]
-    rows = [(k, a, a if rng.random() < 0.99 else b) for k, a, b in rows]
-    d = spark.createDataFrame(rows, "k string, old bigint, new bigint")
-    assert sorted(r.k for r in changed_keys(d, ["k"]).collect()) == sorted(k for k, a, b in rows if a != b)
+    rows = [(f"k{i}", "p", 1, OPEN, rng.randrange(5)) for i in range(3000)]
+    other = [(*r[:4], 7) if rng.random() < 0.01 else r for r in rows]
+    make = lambda x: spark.createDataFrame(x, "k string, p string, s bigint, e bigint, tag bigint").selectExpr("*", "xxhash64(k, p) as hk")
+    a, b = make(rows), make(other)
+    got = {r.leaf for r in differing_leaves(merkle(a, ["k", "p"], 8), merkle(b, ["k", "p"], 8), 8).collect()}
+    want = {r.leaf for r in a.join(b, ["k", "p"]).where(a.tag != b.tag).select(((a.hk.bitwiseAND(-1 << 56)) / (1 << 56)).cast("bigint").alias("leaf")).collect()}
+    assert got == {x % 256 for x in want}
