@@ -44,7 +44,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.conversations(table(spark, d, "conversations")).withColumnRenamed("sid", "session_id")
+    """The messages of sound sessions in order, at their corrected times."""
+    c = sessions.conversations(table(spark, d, "conversations"))
+    return c.select(F.col("sid").alias("session_id"), "pos", "role", F.round("at", 3).alias("at"), "id", "content")
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +131,22 @@ SQL = {
 
 _WINDOWS = """w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
  b AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), x AS (SELECT doc_id, i FROM w SEMI JOIN b USING (h))"""
+_TEXT = "coalesce(regexp_matches(content, '[^\\s\\pZ]'), false)"
+SQL["p4_conversations"] = f"""WITH m AS (
+  SELECT DISTINCT ON (lower(trim(session_id)), lower(trim(id))) lower(trim(session_id)) AS sid, lower(trim(id)) AS id, coalesce({_ROLE}, 'unknown') AS role,
+    CASE WHEN "timestamp" > 1e11 THEN "timestamp" / 1000 ELSE "timestamp" END AS tm, TRY_CAST(json_extract_string(metadata, '$.turn') AS INTEGER) AS turn, content, {_TEXT} AS txt
+  FROM conversations WHERE session_id IS NOT NULL AND trim(session_id) <> ''),
+ t AS (SELECT sid, turn, arg_min(role = 'user', tm) AS u, min(tm) AS tm FROM m WHERE turn IS NOT NULL AND role <> 'unknown' GROUP BY ALL),
+ st AS (SELECT a.sid, CASE WHEN a.u THEN a.tm - b.tm END AS lo, CASE WHEN b.u THEN b.tm - a.tm END AS hi FROM t a JOIN t b ON a.sid = b.sid AND b.turn = a.turn + 1 AND a.u <> b.u),
+ f AS (SELECT sid, max(lo) AS lo, min(hi) AS hi, avg(coalesce(lo, hi)) AS mean FROM st GROUP BY sid),
+ o AS (SELECT sid, coalesce(lo <= hi, true) AS feasible, CASE WHEN coalesce(lo <= 0, true) AND coalesce(hi >= 0, true) THEN 0.0 ELSE greatest(least(mean, hi), lo) END AS shift FROM f),
+ c AS (SELECT m.*, coalesce(feasible, true) AS feasible, tm + CASE WHEN role = 'user' THEN 0.0 ELSE coalesce(shift, 0.0) END AS tc FROM m LEFT JOIN o USING (sid)),
+ g AS (SELECT *, coalesce(tc - lag(tc) OVER (PARTITION BY sid, role, content ORDER BY tc, id) <= 5, false) AS again, CASE WHEN turn IS NULL THEN tc ELSE max(tc) OVER (PARTITION BY sid, turn IS NULL ORDER BY turn, tc ROWS UNBOUNDED PRECEDING) END AS reach FROM c),
+ k AS (SELECT *, NOT again AND ((txt AND role IN ('user', 'assistant')) OR (role = 'system' AND content IS NOT NULL)) AS kept FROM g),
+ n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY reach, coalesce(turn, 2147483647), tc, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 3 END, id) - 1 AS pos FROM k WHERE kept),
+ x AS (SELECT sid, arg_min(role, pos) AS a, arg_max(role, pos) AS z FROM n WHERE role <> 'system' GROUP BY sid),
+ s AS (SELECT sid FROM c GROUP BY sid HAVING bool_and(feasible) AND bool_and(role <> 'unknown') AND coalesce(count(DISTINCT turn) = max(turn) + 1, true))
+ SELECT sid AS session_id, pos, role, round(tc, 3) AS at, id, content FROM n SEMI JOIN s USING (sid) SEMI JOIN (SELECT sid FROM x WHERE a = 'user' AND z = 'assistant') y USING (sid)"""
 SQL["p10_found"] = f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM x"
 SQL["p10_coverage"] = f"""WITH {_WINDOWS}, f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM x),
  g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM f), c AS (SELECT doc_id, max(i) - min(i) + 200 AS n FROM g GROUP BY doc_id, g),
