@@ -3,14 +3,14 @@
 A name is taken apart: titles and legal forms go; a person has a family name and a given name, an initial or a familiar form;
 an organisation a proper name and a line of business. Equal parts make a profile. Profiles block on their name with one
 letter left out and on the letter's place, or on the letter itself where it moved, so all of a block are one edit apart; each
-block is linked to its strongest member, and merged profiles pool their spellings and initials. The
-richer profiles go back into blocking, where initials and familiar forms look for the one member of the family that fits,
-until a round brings no merge.
+block is linked to its strongest member. Merged profiles pool their spellings, initials and given names. The richer profiles
+go back into blocking: initials and familiar forms look for the one member of the family that fits, and a spelling that got
+its given name from its group looks for misspelt names again, until a round brings no merge.
 """
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,20 +55,44 @@ def last_words(names: DataFrame, min_names: int = 3) -> DataFrame:
     )
 
 
+class _Near:
+    """Words by all they can be misread as: those within one edit of a word share it, or one of the strings that arise by leaving out a letter."""
+
+    def __init__(self, words: Iterable[str] = ()) -> None:
+        self.by: dict[str, list[str]] = {}
+        for w in words:
+            self.add(w)
+
+    @staticmethod
+    def _keys(w: str) -> set[str]:
+        return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+    def add(self, w: str) -> None:
+        for k in self._keys(w):
+            self.by.setdefault(k, []).append(w)
+
+    def of(self, w: str) -> set[str]:
+        return {x for k in self._keys(w) for x in self.by.get(k, ()) if within_one_edit(w, x)}
+
+
 class Parser:
     """Takes names apart. ``given``: pairs of given name and familiar form; ``lines``: words for lines of business, most frequent first."""
 
     def __init__(self, given: list[tuple[str, str]], lines: list[str]) -> None:
-        self.full = sorted({fold(a).strip() for a, _ in given if a})
+        self.full = {fold(a).strip() for a, _ in given if a}
+        self.near_full = _Near(sorted(self.full))
         self.short: dict[str, set[str]] = {}
         for a, b in given:
             if a and b:
                 self.short.setdefault(fold(b).strip(), set()).add(fold(a).strip())
-        kept: list[str] = []
+        self.lines: set[str] = set()
+        self.near_lines, self.beginning = _Near(), {}
         for w in map(fold, lines):  # a misspelt line is near a more frequent one, an abbreviated one its beginning
-            if not any(within_one_edit(w, k) or k.startswith(w) for k in kept):
-                kept.append(w)
-        self.lines = kept
+            if w not in self.beginning and not self.near_lines.of(w):
+                self.lines.add(w)
+                self.near_lines.add(w)
+                for i in range(1, len(w) + 1):
+                    self.beginning.setdefault(w[:i], set()).add(w)
         self.known: dict[str, str | None] = {}
         self.line_known: dict[str, str | None] = {}
 
@@ -77,8 +101,8 @@ class Parser:
         if w not in self.known:
             hit = w if w in self.full else None
             if hit is None and len(w) >= 5 and w not in self.short:
-                close = [f for f in self.full if within_one_edit(w, f)]
-                hit = close[0] if len(close) == 1 else None
+                close = self.near_full.of(w)
+                hit = min(close) if len(close) == 1 else None
             self.known[w] = hit
         return self.known[w]
 
@@ -88,11 +112,11 @@ class Parser:
         if key not in self.line_known:
             hit = w if w in self.lines else None
             if hit is None and len(w) >= 4:
-                close = [k for k in self.lines if within_one_edit(w, k)]
-                hit = close[0] if len(close) == 1 else None
+                close = self.near_lines.of(w)
+                hit = min(close) if len(close) == 1 else None
             if hit is None and dotted and len(w) >= 3:
-                close = [k for k in self.lines if k.startswith(w)]
-                hit = close[0] if len(close) == 1 else None
+                close = self.beginning.get(w, set())
+                hit = min(close) if len(close) == 1 else None
             self.line_known[key] = hit
         return self.line_known[key]
 
@@ -167,17 +191,26 @@ def _one_off(core):
     return F.when(n > 0, F.concat(replaced, moved, added))
 
 
-def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2) -> DataFrame:
+def _misspelt(blocked: DataFrame, asking: DataFrame, rare: int, share: float) -> DataFrame:
+    """Links ``a``, ``b`` from profiles ``asking`` to the strongest member of each of their blocks among ``blocked`` (both: ``_k``, ``pid``, ``core``, ``n_ids``, ``spellings``, ``n``)."""
+    heads = blocked.groupBy("_k").agg(F.max(F.struct("n_ids", "n", "core", "pid", "spellings")).alias("h"), F.count("*").alias("c")).where("c > 1").select("_k", "h")
+    unsure = (F.least("spellings", "h.spellings") <= rare) | (F.least("n_ids", "h.n_ids") <= share * F.greatest("n_ids", "h.n_ids"))
+    found = asking.join(heads, "_k").where((F.col("pid") != F.col("h.pid")) & unsure & near(F.col("core"), F.col("h.core")))
+    return found.select(F.col("pid").alias("a"), F.col("h.pid").alias("b")).distinct()
+
+
+def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, share: float = 0.02) -> DataFrame:
     """Groups of entities that mean the same person or organisation: ``id`` and ``grp``, for every id with a usable name.
 
     ``entities``: ``id``, ``name``, ``entity_type``; ``given_names``: ``full_name``, ``short_name`` (at most 100,000 rows). Two names one
-    edit apart are linked if one of the two occurs with at most ``rare`` ids, so that established names stay apart. An initial
-    or a familiar form is linked only if exactly one member of the family fits it best.
+    edit apart, of one given name or line of business, are linked if one of the two family or proper names is written in at most
+    ``rare`` ways in all its entities, or has at most ``share`` of the other's ids, so that established names stay apart.
+    Neither depends on how often the same names are stored. An initial or a familiar form is linked only if exactly one
+    member of the family fits it best.
 
     Left out are ids without a name, of other types, or whose names hold digits. An id stored twice counts once. Ties of
     strength go to the greater name. Empty inputs give an empty result. Columns of other names are ignored.
     """
-    spark = entities.sparkSession
     src = entities.select("id", "name", "entity_type").where("id is not null and name is not null")
     pairs = [(r[0], r[1]) for r in given_names.select("full_name", "short_name").limit(100_001).collect()]
     lines = [r.word for r in last_words(src.where(F.lower(F.trim("entity_type")).isin(*ORGANISATION) | F.col("entity_type").isNull()).select("name")).orderBy(F.desc("n"), "word").limit(20_001).collect()]
@@ -187,27 +220,24 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(pairs, lines)
         for batch in batches:
-            rows = [(i, *p) for i, n, t in zip(*(batch[c].to_pylist() for c in ("id", "name", "entity_type")), strict=True) if (p := parser.parse(n, t))]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["id", "kind", "core", "part", "hint"])
+            rows = [(i, *p, " ".join(words(n)[0])) for i, n, t in zip(*(batch[c].to_pylist() for c in ("id", "name", "entity_type")), strict=True) if (p := parser.parse(n, t))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["id", "kind", "core", "part", "hint", "spelling"])
 
-    parsed = src.mapInArrow(run, "id string, kind string, core string, part string, hint string").dropDuplicates(["id"])
+    parsed = src.mapInArrow(run, "id string, kind string, core string, part string, hint string, spelling string").dropDuplicates(["id"])
     parsed = cut(parsed.withColumn("pid", F.xxhash64("kind", "core", "part", "hint")))
-    strength = parsed.groupBy("kind", "core").agg(F.count("*").alias("strength"))
-    profiles = cut(parsed.groupBy("pid", "kind", "core", "part", "hint").agg(F.count("*").alias("n")).join(strength, ["kind", "core"]))
-    # misspelt names: blocks of equal given name or line, and equal core but for a letter at one place (or the core without it), or a letter that moved; each block is a star
-    block = F.xxhash64("kind", "part", "hint", "_d.text", "_d.place", "_d.letter")
-    blocked = profiles.withColumn("_d", F.explode(_one_off(F.col("core")))).withColumn("_k", block)
-    heads = blocked.groupBy("_k").agg(F.max(F.struct("strength", "n", "core", "pid")).alias("h"), F.count("*").alias("c")).where("c > 1").select("_k", "h")
-    edges = (
-        blocked.join(heads, "_k")
-        .where((F.col("pid") != F.col("h.pid")) & ((F.col("strength") <= rare) | (F.col("h.strength") <= rare)) & near(F.col("core"), F.col("h.core")))
-        .select(F.col("pid").alias("a"), F.col("h.pid").alias("b"))
-        .distinct()
-    )
-    edges = cut(edges)
+    ways = parsed.groupBy("kind", "core", "spelling").agg(F.count("*").alias("n")).groupBy("kind", "core").agg(F.sum("n").alias("n_ids"), F.count("*").alias("spellings"))
+    profiles = cut(parsed.groupBy("pid", "kind", "core", "part", "hint").agg(F.count("*").alias("n")).join(ways, ["kind", "core"]))
+
+    def block(rows: DataFrame) -> DataFrame:
+        # equal given name or line, and equal core but for a letter at one place (or the core without it), or a letter that moved
+        key = F.xxhash64("kind", "part", "hint", "_d.text", "_d.place", "_d.letter")
+        return rows.withColumn("_d", F.explode(_one_off(F.col("core")))).select(key.alias("_k"), "pid", "core", "n_ids", "spellings", "n")
+
+    blocked = block(profiles)
+    edges = cut(_misspelt(blocked, blocked, rare, share))
     hints = profiles.where("kind = 'person' and hint <> '' and length(core) >= 3").select("pid", "core", "hint")
-    label = cut(components(edges))
+    label, asked = cut(components(edges)), None
     while True:  # a round's links give free groups a given name, so free ones grow fewer
         merged = profiles.join(label, profiles.pid == label.node, "left").withColumn("grp", F.coalesce("component", "pid"))
         # a merged profile has the spellings of all its members, and their given name
@@ -227,7 +257,18 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2) -> Da
         )
         best = found.groupBy("pid").agg(F.min("_rank").alias("_rank"))
         links = found.join(best, ["pid", "_rank"]).groupBy("pid").agg(F.min("r_grp").alias("a"), F.max("r_grp").alias("b")).where("a = b")
-        links = cut(links.select(F.col("pid").alias("a"), "b"))
+        links = links.select(F.col("pid").alias("a"), "b")
+        # profiles that got a given name from their group, since the last round: back into the blocks of that name
+        given = merged.where("kind = 'person' and part = ''").drop("part", "hint", "grp", "node", "component").join(merged.select("pid", "grp"), "pid").join(named, "grp").drop("grp").withColumn("hint", F.lit(""))
+        fresh = cut(given if asked is None else given.join(asked, ["pid", "part"], "left_anti"))
+        if fresh.take(1):
+            asking = block(fresh)
+            links = links.unionByName(_misspelt(blocked.join(asking.select("_k").distinct(), "_k", "left_semi").unionByName(asking), asking, rare, share))
+            asked = fresh.select("pid", "part") if asked is None else cut(asked.unionByName(fresh.select("pid", "part")))
+        # what is one group already is no news
+        grp = merged.select(F.col("pid").alias("_p"), "grp")
+        ends = links.join(grp.select(F.col("_p").alias("a"), F.col("grp").alias("_a")), "a", "left").join(grp.select(F.col("_p").alias("b"), F.col("grp").alias("_b")), "b", "left")
+        links = cut(ends.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
         if not links.take(1):
             break
         edges = cut(edges.unionByName(links))
@@ -235,8 +276,10 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2) -> Da
     return parsed.join(label, parsed.pid == label.node, "left").select("id", F.coalesce("component", "pid").alias("grp"))
 
 
-def linked_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of ids of a group, smaller id first: ``id_a``, ``id_b``."""
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp")
-    g = groups.join(sizes, "grp", "left_semi")
-    return g.select("grp", F.col("id").alias("id_a")).join(g.select("grp", F.col("id").alias("id_b")), "grp").where("id_a < id_b").select("id_a", "id_b")
+def linked_pairs(groups: DataFrame, part_rows: int = 2000) -> DataFrame:
+    """All pairs of ids of a group, smaller id first: ``id_a``, ``id_b``. The ids of a large group meet in parts of about ``part_rows``, so that no task has all of its pairs."""
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"), F.count("*").alias("_n")).where("_n > 1").select("grp", "_parts")
+    g = groups.join(sizes, "grp")
+    one = g.select("grp", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.col("_parts")).alias("_part"))
+    other = g.select("grp", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts").cast("bigint") - 1)).alias("_part"))
+    return one.join(other, ["grp", "_part"]).where("id_a < id_b").select("id_a", "id_b")
