@@ -16,7 +16,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``edges``: ``a``, ``b`` (one type, ordered). Returns ``node`` and ``component`` (its smallest node) of all nodes with a link.
 
     Each round keeps at most one row for a pair and turns every link to the smallest neighbour, so no row is made for pairs
-    inside a group. Nulls and links of a node to itself are ignored, repeated links count once, no links give no rows.
+    inside a group. More than ``max_rounds`` rounds are an error. Nulls and links of a node to itself are ignored, repeated links count once, no links give no rows.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, state = cut(e), None
@@ -31,5 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if (now.n, now.h) == state:
             break
         state = (now.n, now.h)
+    else:
+        raise RuntimeError(f"the components are not found after {max_rounds} rounds, which is far beyond the square of the logarithm of any number of links")
     ends = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
