@@ -191,11 +191,11 @@ def _one_off(core):
     return F.when(n > 0, F.concat(replaced, moved, added))
 
 
-def _misspelt(blocked: DataFrame, asking: DataFrame, rare: int, share: float) -> DataFrame:
-    """Links ``a``, ``b`` from profiles ``asking`` to the strongest member of each of their blocks among ``blocked`` (both: ``_k``, ``pid``, ``core``, ``n_ids``, ``spellings``, ``n``)."""
+def _misspelt(blocked: DataFrame, rare: int, share: float) -> DataFrame:
+    """Links ``a``, ``b`` from profiles to the strongest member of each of their blocks. ``blocked``: ``_k``, ``pid``, ``core``, ``n_ids``, ``spellings``, ``n``."""
     heads = blocked.groupBy("_k").agg(F.max(F.struct("n_ids", "n", "core", "pid", "spellings")).alias("h"), F.count("*").alias("c")).where("c > 1").select("_k", "h")
     unsure = (F.least("spellings", "h.spellings") <= rare) | (F.least("n_ids", "h.n_ids") <= share * F.greatest("n_ids", "h.n_ids"))
-    found = asking.join(heads, "_k").where((F.col("pid") != F.col("h.pid")) & unsure & near(F.col("core"), F.col("h.core")))
+    found = blocked.join(heads, "_k").where((F.col("pid") != F.col("h.pid")) & unsure & near(F.col("core"), F.col("h.core")))
     return found.select(F.col("pid").alias("a"), F.col("h.pid").alias("b")).distinct()
 
 
@@ -235,7 +235,7 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, share
         return rows.withColumn("_d", F.explode(_one_off(F.col("core")))).select(key.alias("_k"), "pid", "core", "n_ids", "spellings", "n")
 
     blocked = block(profiles)
-    edges = cut(_misspelt(blocked, blocked, rare, share))
+    edges = cut(_misspelt(blocked, rare, share))
     hints = profiles.where("kind = 'person' and hint <> '' and length(core) >= 3").select("pid", "core", "hint")
     label, asked = cut(components(edges)), None
     while True:  # a round's links give free groups a given name, so free ones grow fewer
@@ -263,7 +263,8 @@ def link_names(entities: DataFrame, given_names: DataFrame, rare: int = 2, share
         fresh = cut(given if asked is None else given.join(asked, ["pid", "part"], "left_anti"))
         if fresh.take(1):
             asking = block(fresh)
-            links = links.unionByName(_misspelt(blocked.join(asking.select("_k").distinct(), "_k", "left_semi").unionByName(asking), asking, rare, share))
+            met = blocked.join(asking.select("_k").distinct(), "_k", "left_semi").unionByName(asking)
+            links = links.unionByName(_misspelt(met, rare, share))
             asked = fresh.select("pid", "part") if asked is None else cut(asked.unionByName(fresh.select("pid", "part")))
         # what is one group already is no news
         grp = merged.select(F.col("pid").alias("_p"), "grp")
