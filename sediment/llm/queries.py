@@ -81,6 +81,12 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("id").alias("n_docs"), F.round(F.max("share"), 6).alias("max_share"))
 
 
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All rulings without the passages of held-out items; those that consist of them by more than half are gone."""
+    kept = leakage.remove_leaks(_docs(spark, d), table(spark, d, "eval_items"))
+    return kept.select(F.col("id").alias("doc_id"), F.length("text").alias("n_chars"), "removed_chars", F.md5("text").alias("text_md5"))
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -110,7 +116,7 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return found.join(size, "id").select(F.col("id").alias("doc_id"), "n_spans", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p7_found, p7_groups, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_coverage)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p7_found, p7_groups, p8_found, p8_items, p8_cleaned, p9_mix, p9_shares, p10_found, p10_coverage)}
 
 _ROLE = "CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'unknown' END"
 
