@@ -1,6 +1,6 @@
 import numpy as np
 
-from sediment.llm.neighbours import FlatGraph, nearest
+from sediment.llm.neighbours import FlatGraph, VectorIndex, nearest
 
 SCHEMA = "tbl string, id string, vec array<float>, cell int, raw string"
 
@@ -75,3 +75,39 @@ def test_more_cells_are_probed_where_there_are_more(spark):
     want = np.argsort(-s, axis=1)[:, :10]
     assert np.mean([len({f"v{j:05}" for j in want[i]} & mine[f"v{i:05}"]) / 10 for i in range(400)]) >= 0.95
 
+
+
+def test_cells_in_two_levels(spark):
+    v = clustered(3000, 16, 8)
+    rows = [("a", f"v{i:05}", [float(x) for x in v[i]]) for i in range(len(v))]
+    probes = spark.createDataFrame([("a", f"v{i:05}") for i in range(400)], "tbl string, id string")
+    mine = {}
+    for r in nearest(frame(spark, rows), probes, dim=16, shard_rows=40, flat_cells=5).collect():  # ten coarse cells of some ten each
+        mine.setdefault(r.id, set()).add(r.neighbour_id)
+    s = v[:400] @ v.T
+    s[np.arange(400), np.arange(400)] = -2
+    want = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len({f"v{j:05}" for j in want[i]} & mine[f"v{i:05}"]) / 10 for i in range(400)]) >= 0.9
+
+
+def test_index_is_stored_and_asked_again(spark, tmp_path):
+    v = clustered(900, 16, 2)
+    df = frame(spark, [("a", f"v{i:05}", [float(x) for x in v[i]]) for i in range(len(v))])
+    VectorIndex(spark, str(tmp_path / "i"), 16, shard_rows=100).build(df)
+    again = VectorIndex(spark, str(tmp_path / "i"), 16, shard_rows=100)
+    one, parts = (sorted(map(tuple, again.search(df, 5, query_rows=n).collect())) for n in (10**6, 60))
+    assert one == parts and len(one) == 4500  # the queries of a cell may be split
+    flat = spark.read.parquet(f"{again.path}/shards")
+    assert flat.count() == len(again.cells()["a"].fine) and flat.selectExpr("sum(size(ids))").first()[0] == 900
+
+
+def test_graph_by_insertion():
+    for n in (1000, 8000):
+        v = clustered(n, 16, n)
+        g = FlatGraph(v)
+        nodes, near = g.levels[0]
+        assert len(nodes) == n and near.shape == (n, 32) and ((near >= 0).sum(1) > 0).all()
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(near))
+        back, sim = FlatGraph.of(v, g.levels).search(v[:200], 11, 48)
+        want = np.argsort(-(v[:200] @ v.T), axis=1)[:, :11]
+        assert np.mean([len(set(a) & set(b)) / 11 for a, b in zip(back, want, strict=True)]) > 0.97
