@@ -89,7 +89,7 @@ class FlatGraph:
             ids, sims = self._enter(q, before)
         for level in range(len(self.levels) - 1, -1, -1):
             if before:
-                ids, sims = self._walk(q, level, ids, sims, candidates if level == 0 or (height[new] >= level).any() else 8)
+                ids, sims = self._walk(q, level, ids, sims, candidates if level == 0 else 12)
             mine = np.flatnonzero(height[new] >= level)
             if not len(mine):
                 continue
