@@ -12,10 +12,20 @@ NAME = rf"{BEFORE}([A-Z][a-z]+(?:{BLANK}[A-Z][a-z]+)*){AFTER}"
 QUOTED = r'"([^"]+)"'
 FACT = rf"(?i){BEFORE}({WORD}(?:{BLANK}{WORD})?){BLANK}(uses?|is|was|has|prefers?|decided|switched to|moved to){BLANK}({WORD}(?:{BLANK}{WORD})?){AFTER}"
 FACT_VERB = r"(?i)\s(uses?|is|was|has|prefers?|decided|switched to|moved to)\s"
-SECRET = r"(-----BEGIN [A-Z ]*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{16,}|(?i:(api[_-]?key|password|secret|token)\s*[:=]\s*\S{6,}))"
-GLOBAL_CUE = r"(?i)\b(i (always |usually )?(prefer|like|want|use)|my (preference|default)|always use|never use|call me)\b"
-PROJECT_CUE = r"(?i)\b(we (decided|agreed|chose|use|moved)|this project|the (repo|codebase|plan|schema)|migrat\w+|switched to|depends on)\b"
-OUTCOME_CUE = r"(?i)\b(done|fixed|implemented|completed|resolved|merged|verified|passing|added|saved|noted)\b"
+# Cues of what is worth keeping, case aside, between bounds of words; and of secrets.
+USER_GLOBAL_CUES = r"always|never|from now on|i prefer|my preference|my workflow|remember that i|remember my"
+USER_PROJECT_CUES = (
+    r"remember|we (?:use|decided|switched|moved|chose|prefer)|the (?:project|repo|repository|app|service) (?:uses|is|has|needs)|"
+    r"our (?:stack|database|architecture|convention|status|goal)|current (?:status|goal|decision)"
+)
+ASSISTANT_OUTCOME_CUES = r"implemented|fixed|resolved|updated|added|removed|migrated|refactored|benchmark(?:ed|s)?|tests? (?:pass|passed|passing)|committed|deployed|root cause|verification|completed"
+SECRET_CUES = r"(?i)(?:-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|\bsk-[A-Za-z0-9_-]{16,}\b|\b(?:password|passwd|api[_-]?key|access[_-]?token)\s*[:=]\s*\S+)"
+#: What a candidate is: its scope, kind, how it is known, and its confidence.
+CANDIDATES = {
+    "global": ("global", "user_preference", "user_stated", 0.95),
+    "project": ("project", "project_fact", "user_stated", 0.9),
+    "outcome": ("project", "work_outcome", "assistant_reported", 0.65),
+}
 
 
 def tokens(c: Column) -> Column:
@@ -60,6 +70,16 @@ def window_starts(n: Column, size: int = 4, stride: int = 2) -> Column:
     return F.when(n > 0, every).otherwise(F.array().cast("array<int>"))
 
 
+def windows_of(i: Column, n: Column, size: int = 4, stride: int = 2) -> Column:
+    """Starts of the windows (see window_starts) that hold place ``i`` of ``n``: those at the stride that reach it, of which there are at most size / stride, and the last."""
+    i, n = i.cast("int"), n.cast("int")
+    last = F.greatest(F.lit(0), n - size)
+    low = F.greatest(F.lit(0), F.floor((i - size + stride) / stride) * stride).cast("int")
+    high = F.least(F.floor(i / stride) * stride, F.floor(last / stride) * stride).cast("int")
+    every = F.when(low <= high, F.sequence(low, high, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.when(i >= last, F.array_distinct(F.array_append(every, last))).otherwise(every)
+
+
 def windows(items: Column, size: int = 4, stride: int = 2, glue: str = " ") -> Column:
     """Structs ``start`` and ``text`` of overlapping windows over an array of strings."""
     return F.transform(window_starts(F.size(items), size, stride), lambda s: F.struct(s.alias("start"), F.array_join(F.slice(items, s + 1, F.lit(size)), glue).alias("text")))
@@ -72,20 +92,27 @@ def render_fact(subject: Column, predicate: Column, value: Column, name: Column,
 
 
 def durable_candidate(role: Column, content: Column) -> Column:
-    """What a message is worth keeping as: global_preference before project_fact, an assistant's outcome last; null if nothing or if it holds a secret."""
+    """What a message is worth keeping as: ``scope``, ``kind``, ``verification``, ``confidence``. A user's lasting preference before a fact on the project; an
+    assistant's outcome if its excerpt isn't empty; null if it is nothing of these or holds a secret."""
     user, assistant = F.lower(F.trim(role)).isin("user", "human"), F.lower(F.trim(role)).isin("assistant", "bot", "ai")
-    kind = (
-        F.when(content.rlike(SECRET), None)
-        .when(user & content.rlike(GLOBAL_CUE), "global_preference")
-        .when(user & content.rlike(PROJECT_CUE), "project_fact")
-        .when(assistant & content.rlike(OUTCOME_CUE), "assistant_outcome")
+    cue = lambda words: content.rlike(f"(?i){BEFORE}(?:{words}){AFTER}")
+    what = lambda k: F.struct(*(F.lit(v).alias(n) for n, v in zip(("scope", "kind", "verification", "confidence"), CANDIDATES[k], strict=True)))
+    return (
+        F.when(content.rlike(SECRET_CUES), None)
+        .when(user & cue(USER_GLOBAL_CUES), what("global"))
+        .when(user & cue(USER_PROJECT_CUES), what("project"))
+        .when(assistant & cue(ASSISTANT_OUTCOME_CUES) & (durable_excerpt(content) != ""), what("outcome"))
     )
-    return kind
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, rf"^{BLANK}|{BLANK}$", "")
 
 
 def durable_excerpt(c: Column, most: int = 2400) -> Column:
     """Text without fenced code, blank lines, bare links and heading marks, cut to ``most`` characters."""
-    bare = F.regexp_replace(c, r"(?s)```.*?(```|$)", "")
-    lines = F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*#+\s*", "")))
-    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^https?://\S+$"))
-    return F.substring(F.array_join(kept, "\n"), 1, most)
+    bare = F.regexp_replace(c, r"(?s)```.*?```", "")
+    lines = F.transform(F.split(bare, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), stripped)
+    kept = F.filter(lines, lambda x: (x != "") & ~x.startswith("http://") & ~x.startswith("https://"))
+    return stripped(F.substring(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, rf"^#{{1,6}}{BLANK}", "")), "\n"), 1, most))

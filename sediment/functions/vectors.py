@@ -21,6 +21,13 @@ def usable(a: Column, dim: int) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """At length one, in double precision."""
-    n = norm(a)
+    """At length one, in double precision; a zero vector has nulls."""
+    n = F.nullif(norm(a), F.lit(0.0))
     return F.transform(a, lambda x: x.cast("double") / n)
+
+
+def hashed(tokens: Column, dim: int = 64) -> Column:
+    """A stand-in for a model: counts of an array of tokens by the first four digits of their MD5, modulo ``dim``."""
+    at = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(dim)))
+    count = lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda b: b == i)).cast("float"))
+    return F.transform(F.array(at), count)[0]  # bound as a variable, the places are found once

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sediment.functions.text import facts, proper_names, quoted
 
 #: Predicates that hold several values at a time.
-ADDITIVE = ("uses", "knows", "likes", "works_on", "works_with", "includes", "contains", "depends_on", "related_to", "supports", "implements", "requires", "caused", "decided", "member_of")
+ADDITIVE = ("caused", "contains", "depends", "depends_on", "includes", "implements", "knows", "likes", "member_of", "related_to", "requires", "supports", "uses", "works_on", "works_with")
 
 
 def extract(messages: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.functions.keys import norm_id, norm_predicate
+from sediment.functions.text import tokens
+from sediment.functions.vectors import hashed
 from sediment.sources.tables import table
 
 #: Parameters of the queries: the present, a moment for as-of reads, and texts to search for.
@@ -19,6 +21,14 @@ ASKED = (
 )
 
 
+COMPARED = (*ASKED[:3], (6, "Compare Norwick Bay and Greyfen on the tariff model"))
+
+
+def embedding(text: Column) -> Column:
+    """Of a text, as no model is at hand."""
+    return hashed(tokens(F.coalesce(text, F.lit(""))))
+
+
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASKED, "qid int, text string")
 
@@ -57,3 +67,4 @@ M = """m AS (SELECT lower(trim(id)) AS id, CASE WHEN "timestamp" > 1e11 THEN "ti
  CASE WHEN trim(session_id) <> '' THEN lower(trim(session_id)) END AS session_id, metadata FROM conversations QUALIFY row_number() OVER (PARTITION BY lower(trim(id))) = 1)"""
 Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") AS v(qid, text))"
 TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+HASHED = "list_transform([list_transform({}, lambda t: CAST('0x' || substr(md5(t), 1, 4) AS INTEGER) % 64)], lambda a: list_transform(range(64), lambda i: len(list_filter(a, lambda b: b = i))::DOUBLE))[1]"

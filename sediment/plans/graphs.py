@@ -9,7 +9,7 @@ from sediment.functions.keys import object_key
 from sediment.functions.text import render_fact
 from sediment.operators import compression, consolidation, dense, evaluation, graph, retrieval, search, spectral, temporal
 from sediment.operators.lexical import bm25, top_k
-from sediment.plans.base import AT, NOW, E, Q, T, TOKENS, asked, entities, triples
+from sediment.plans.base import AT, COMPARED, HASHED, NOW, E, M, Q, T, TOKENS, asked, embedding, entities, messages, triples
 from sediment.sources.tables import spread, table
 
 
@@ -196,26 +196,32 @@ def recall_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_facets(spark: SparkSession, d: str) -> DataFrame:
-    q = spark.createDataFrame([(1, "compare Silver Falcon with Paper Kite on cost"), (2, "who owns Silver Falcon"), (3, 'difference between "seed catalogue" and Night Heron')], "qid int, text string")
-    return retrieval.query_facets(q)
+    """Of each entity name a question that compares it with the greatest one, and one that doesn't, as facets."""
+    e = entities(spark, d).where("name is not null")
+    most = e.agg(F.max("name").alias("_m"))
+    q = e.crossJoin(F.broadcast(most)).select("id", F.explode(F.array(F.concat(F.lit("How do "), "name", F.lit(" and "), "_m", F.lit(" each work?")), F.concat(F.lit("Who knows "), "name"))).alias("text"))
+    return retrieval.query_facets(q.withColumnRenamed("id", "qid")).groupBy("facet").agg(F.count("*").alias("n"), F.count("entity").alias("n_named"))
 
 
 def hybrid_stage1(spark: SparkSession, d: str) -> DataFrame:
-    """Okapi scores of documents as dense evidence fused with plus scores as lexical evidence."""
+    """The sixty nearest documents by hashed tokens fused with Okapi scores of all."""
     docs, q = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark)
-    f = retrieval.stage1(bm25(docs, q), bm25(docs, q, "plus")).withColumn("score", F.round("score", 9))
+    near = retrieval.dense_scores(docs.select("id", embedding(F.col("text")).alias("vec")), q.select("qid", embedding(F.col("text")).alias("vec")), 64, 60)
+    f = retrieval.stage1(near, bm25(docs, q)).withColumn("score", F.round("score", 9))
     return top_k(f, 20).select("qid", "id", F.round("score", 6).alias("score"), "pos")
 
 
-def grouped_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions by the fused ranks of their messages in two lexical rankings."""
-    from sediment.plans.base import messages
+def retrieve_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by two asks of hashed tokens, BM25, and passages reranked by shared words."""
+    docs = search.session_documents(messages(spark, d)).select(F.col("session_id").alias("id"), F.col("user_text").alias("text"), "all_text")
+    return retrieval.retrieve_sessions(docs, asked(spark), embedding, 64).select("qid", "id", F.round("score", 6).alias("score"), "pos")
+
 
-    m = messages(spark, d).where("session_id is not null")
-    docs, q = m.select("id", F.col("content").alias("text")), asked(spark)
-    a, b = (bm25(docs, q, v).withColumn("score", F.round("score", 9)).withColumn("facet", F.lit(0)) for v in ("okapi", "plus"))
-    g = retrieval.grouped_sessions(a, b, m.select("id", F.col("session_id").alias("parent"))).withColumn("score", F.round("score", 9))
-    return top_k(g, 10, tie="parent").select("qid", "parent", F.round("score", 6).alias("score"), "pos")
+def grouped_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by their messages as windows: facets, dense and lexical ranks, names covered, reranked windows."""
+    w = messages(spark, d).where("session_id is not null").select("id", F.col("session_id").alias("parent"), F.col("content").alias("text"))
+    g = retrieval.retrieve_grouped(w, spark.createDataFrame(COMPARED, "qid int, text string"), embedding, 64)
+    return g.select("qid", "parent", F.round("score", 6).alias("score"), "pos")
 
 
 def temporal_score(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +257,7 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promote_repeated(spark: SparkSession, d: str) -> DataFrame:
-    return consolidation.promote_repeated(triples(spark, d), least=2).select("id", F.round("confidence", 6).alias("confidence"))
+    return consolidation.promote_repeated(triples(spark, d)).select("id", F.round("confidence", 6).alias("confidence"))
 
 
 def dedup_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         current_facts, as_of_facts, fact_history, scd2_facts, late_facts, contradictions, triple_pattern, list_entities, list_triples, orphans, touched_entities, duplicates, merge_entities,
-        superseded_counts, neighbours_3, find_entities, delete_entity, touch_access, local_subgraph_gap, multi_probe_topk, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, recall_hybrid, query_facets, hybrid_stage1, grouped_sessions, temporal_score,
+        superseded_counts, neighbours_3, find_entities, delete_entity, touch_access, local_subgraph_gap, multi_probe_topk, dense_topk, dense_expansion_flag, retrieval_metrics, metric_by_label, compare_runs, recall_facts, recall_hybrid, query_facets, hybrid_stage1, retrieve_sessions, grouped_sessions, temporal_score,
         adjacency, weighted_degree, laplacian_entries, decay_operator, spectral_gap, clusters, promote_repeated, dedup_triples, self_references, prune, decay_triples, consolidate,
         cluster_centroid, graph_stats, compress_l2, budget_report,
     )
@@ -373,7 +379,7 @@ SQL = {
     "laplacian_entries": f"""WITH {T}, {_ADJ} SELECT src, dst, round(sum(v), 6) AS v FROM (SELECT src, dst, -w / sqrt(a.degree * b.degree) AS v FROM adj JOIN deg a ON a.id = src JOIN deg b ON b.id = dst WHERE a.degree > 0 AND b.degree > 0
  UNION ALL SELECT id, id, 1.0 FROM deg WHERE degree > 0) GROUP BY src, dst""",
     "decay_operator": f"WITH {E}, {T}, {_ADJ}, {_DECAY} SELECT id, round(n, 6) AS new_confidence FROM dec",
-    "promote_repeated": f"""WITH {T}, x AS (SELECT subject_id, predicate, coalesce(object_id, '') AS o, coalesce(object_value, '') AS v FROM t WHERE valid_until IS NULL GROUP BY ALL HAVING count(DISTINCT source_ref) >= 2)
+    "promote_repeated": f"""WITH {T}, x AS (SELECT subject_id, predicate, coalesce(object_id, '') AS o, coalesce(object_value, '') AS v FROM t WHERE valid_until IS NULL GROUP BY ALL HAVING count(DISTINCT source_ref) >= 3)
  SELECT t.id, round(CASE WHEN x.o IS NOT NULL AND t.valid_until IS NULL THEN least(confidence * 1.5, 1.0) ELSE confidence END, 6) AS confidence
  FROM t LEFT JOIN x ON t.subject_id = x.subject_id AND t.predicate = x.predicate AND coalesce(t.object_id, '') = x.o AND coalesce(t.object_value, '') = x.v""",
     "dedup_triples": f"""WITH {T} SELECT id FROM t WHERE valid_until IS NOT NULL UNION ALL SELECT id FROM (SELECT id FROM t WHERE valid_until IS NULL
@@ -397,7 +403,6 @@ SQL = {
 
 
 def _fused() -> None:
-    from sediment.plans.base import M
     from sediment.plans.texts import _DOCS, _bm25
 
     okapi, plus = _bm25(_DOCS, TOKENS, "okapi"), _bm25(_DOCS, TOKENS, "plus")
@@ -405,18 +410,44 @@ def _fused() -> None:
     SQL["compare_runs"] = f"""WITH a AS (SELECT * FROM ({okapi} SELECT * FROM sc) QUALIFY {top} <= 20), b AS (SELECT * FROM ({plus} SELECT * FROM sc) QUALIFY {top} <= 20)
  SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, round(a.score, 6) AS value_a, round(b.score, 6) AS value_b, round(b.score - a.score, 6) AS delta,
  CASE WHEN a.id IS NULL THEN 'only_b' WHEN b.id IS NULL THEN 'only_a' WHEN a.score = b.score THEN 'equal' ELSE 'differs' END AS state FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id"""
-    okapi, plus = _bm25(_DOCS, TOKENS, "okapi", digits=15), _bm25(_DOCS, TOKENS, "plus", digits=15)
-    SQL["hybrid_stage1"] = f"""WITH a AS ({okapi} SELECT * FROM sc), b AS ({plus} SELECT * FROM sc),
- j AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, greatest(coalesce(a.score, 0.0), 0.0) AS dn, coalesce(b.score, 0.0) AS lx FROM a FULL JOIN b ON a.qid = b.qid AND a.id = b.id),
- k AS (SELECT qid, id, round(CASE WHEN max(dn) OVER w > 0 THEN 0.7 * dn / max(dn) OVER w ELSE 0.0 END + CASE WHEN max(lx) OVER w > 0 THEN 0.3 * lx / max(lx) OVER w ELSE 0.0 END, 9) AS score FROM j WINDOW w AS (PARTITION BY qid))
- SELECT qid, id, round(score, 6) AS score, CAST({top} AS INTEGER) AS pos FROM k QUALIFY {top} <= 20"""
-    md = "SELECT id, content AS text FROM m WHERE session_id IS NOT NULL"
-    one, two = _bm25(md, TOKENS, "okapi", f"{M}, "), _bm25(md, TOKENS, "plus", f"{M}, ")
-    SQL["grouped_sessions"] = f"""WITH {M}, r AS (SELECT 'd' AS k, qid, id, rank() OVER (PARTITION BY qid ORDER BY score DESC) AS r FROM ({one} SELECT * FROM sc)
- UNION ALL SELECT 'l', qid, id, rank() OVER (PARTITION BY qid ORDER BY score DESC) FROM ({two} SELECT * FROM sc)),
- b AS (SELECT k, qid, session_id AS parent, min(r) AS r FROM r JOIN m USING (id) GROUP BY ALL), s AS (SELECT qid, parent, round(sum(1.0 / (60 + r)), 9) AS score FROM b GROUP BY ALL)
- SELECT qid, parent, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS INTEGER) AS pos FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) <= 10"""
-
+    near = f"""v AS (SELECT id, {HASHED.format("toks")} AS v FROM k WHERE len(toks) > 0), qv AS (SELECT qid, {HASHED.format(TOKENS.format("text"))} AS v FROM q),
+ nr AS (SELECT qid, id, list_cosine_similarity(qv.v, v.v) AS score FROM v, qv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv.v, v.v), 9) DESC, id) <= 60)"""
+    fuse = """j AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.id, b.id) AS id, greatest(coalesce(a.score, 0.0), 0.0) AS dn, coalesce(b.score, 0.0) AS lx FROM {} a FULL JOIN sc b ON a.qid = b.qid AND a.id = b.id),
+ f2 AS (SELECT qid, id, round(CASE WHEN max(dn) OVER w > 0 THEN 0.7 * dn / max(dn) OVER w ELSE 0.0 END + CASE WHEN max(lx) OVER w > 0 THEN 0.3 * lx / max(lx) OVER w ELSE 0.0 END, 9) AS score FROM j WINDOW w AS (PARTITION BY qid))"""
+    SQL["hybrid_stage1"] = _bm25(_DOCS, TOKENS, "okapi", digits=15) + f""", {near}, {fuse.format("nr")}
+ SELECT qid, id, round(score, 6) AS score, CAST({top} AS INTEGER) AS pos FROM f2 QUALIFY {top} <= 20"""
+    sd = f"""{M}, y AS (SELECT * FROM m WHERE session_id IS NOT NULL AND trim(content) <> ''),
+ sd AS (SELECT session_id AS id, string_agg(content, chr(10) ORDER BY ts, id) FILTER (role IN ('user', 'human')) AS text, string_agg(content, chr(10) ORDER BY ts, id) AS all_text FROM y GROUP BY session_id HAVING text IS NOT NULL), """
+    share = lambda a: f"len(list_filter(list_distinct({TOKENS.format('q.text')}), lambda t: list_contains({TOKENS.format(a)}, t))) / len(list_distinct({TOKENS.format('q.text')}))"
+    SQL["retrieve_sessions"] = _bm25("SELECT id, text FROM sd", TOKENS, "okapi", sd, digits=15) + f""", {near},
+ ps AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS pos FROM nr),
+ ld AS (SELECT qid, max(score) FILTER (pos = 1) AS s1, max(score) FILTER (pos = 2) AS s2, max(score) FILTER (pos = 5) AS s5, max(id) FILTER (pos = 1) AS id, list(score) AS every FROM ps GROUP BY qid),
+ mo AS (SELECT qid, id FROM ld WHERE s5 IS NOT NULL AND (s1 - s2 < (s2 - s5) * 2.0 OR len(list_filter(every, lambda s: s >= s1 * 0.9)) >= 3)),
+ ax AS (SELECT qid, q.text || ' ' || substr(sd.text, 1, 200) AS text FROM mo JOIN sd USING (id) JOIN q USING (qid)), av AS (SELECT qid, {HASHED.format(TOKENS.format("text"))} AS v FROM ax),
+ ag AS (SELECT qid, id, 0.5 * list_cosine_similarity(av.v, v.v) AS score FROM v, av QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(av.v, v.v), 9) DESC, id) <= 20),
+ dd AS (SELECT qid, id, max(score) AS score FROM (SELECT qid, id, score FROM nr UNION ALL SELECT * FROM ag) GROUP BY ALL), {fuse.format("dd")},
+ cd AS (SELECT * FROM f2 QUALIFY {top} <= 15),
+ rr AS (SELECT cd.*, greatest({share("substr(sd.text, 1, 512)")}, {share("substr(sd.all_text, 1, 512)")}) AS rerank FROM cd JOIN sd USING (id) JOIN q USING (qid)),
+ bl AS (SELECT qid, id, 0.4 * CASE WHEN max(rerank) OVER w > min(rerank) OVER w THEN (rerank - min(rerank) OVER w) / (max(rerank) OVER w - min(rerank) OVER w) ELSE 0.5 END + 0.6 * CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0.0 END AS fin FROM rr WINDOW w AS (PARTITION BY qid)),
+ bo AS (SELECT qid, min(fin) AS least FROM bl GROUP BY qid),
+ al AS (SELECT f2.qid, f2.id, round(coalesce(fin, CASE WHEN max(score) OVER (PARTITION BY f2.qid) > 0 THEN score / max(score) OVER (PARTITION BY f2.qid) * least * 0.99 ELSE 0.0 END), 9) AS score FROM f2 JOIN bo USING (qid) LEFT JOIN bl ON bl.qid = f2.qid AND bl.id = f2.id)
+ SELECT qid, id, round(score, 6) AS score, CAST({top} AS INTEGER) AS pos FROM al QUALIFY {top} <= 10"""
+    # facets of the queries that are asked, written out: number * 4 + facet, text, name
+    faceted = [(q * 4, t, None) for q, t in COMPARED] + [(25, "Norwick Bay tariff model", "norwick bay"), (26, "Greyfen tariff model", "greyfen")]
+    fq = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', {'NULL' if n is None else repr(n)})" for i, t, n in faceted) + ") AS v(qid, text, name))"
+    SQL["grouped_sessions"] = _bm25("SELECT id, content AS text FROM m WHERE session_id IS NOT NULL", TOKENS, "okapi", f"{M}, ").replace(Q, fq) + f""",
+ p2 AS (SELECT id, session_id AS parent, content AS text FROM m WHERE session_id IS NOT NULL), v AS (SELECT id, {HASHED.format("toks")} AS v FROM k), qv AS (SELECT qid, {HASHED.format(TOKENS.format("text"))} AS v FROM q),
+ s1 AS (SELECT qid, id, list_cosine_similarity(qv.v, v.v) AS c FROM v, qv), dn AS (SELECT qid, id, rank() OVER (PARTITION BY qid ORDER BY round(CASE WHEN isnan(c) OR c IS NULL THEN 0.0 ELSE c END, 9) DESC) AS dr FROM s1),
+ lx AS (SELECT qid, id, rank() OVER (PARTITION BY qid ORDER BY score DESC) AS lr FROM sc WHERE score > 0), nn AS (SELECT qid, count(*) + 1 AS none FROM lx GROUP BY qid),
+ rk AS (SELECT dn.qid AS qf, dn.qid // 4 AS qid, dn.qid % 4 AS facet, dn.id, parent, dr, coalesce(lr, none, 1) AS lr FROM dn JOIN p2 USING (id) LEFT JOIN lx ON lx.qid = dn.qid AND lx.id = dn.id LEFT JOIN nn ON nn.qid = dn.qid),
+ hs AS (SELECT DISTINCT qid AS qf, parent FROM p2, q WHERE name IS NOT NULL AND regexp_matches(' ' || lower(p2.text) || ' ', '[^\\p{{L}}\\p{{N}}_]' || name || '[^\\p{{L}}\\p{{N}}_]')),
+ be AS (SELECT qid, qf, facet, parent, min(dr) AS dr, min(lr) AS lr FROM rk GROUP BY ALL),
+ pa AS (SELECT be.qid, be.parent, avg(CASE WHEN facet = 0 OR hs.parent IS NOT NULL THEN 1.0 / (60 + dr) + 1.0 / (60 + lr) ELSE 0.0 END) AS score FROM be LEFT JOIN hs ON hs.qf = be.qf AND hs.parent = be.parent GROUP BY ALL),
+ ch AS (SELECT qid, id FROM rk QUALIFY row_number() OVER (PARTITION BY qf ORDER BY dr, id) <= 60 OR row_number() OVER (PARTITION BY qf ORDER BY lr, id) <= 60),
+ st AS (SELECT qid, id, any_value(parent) AS parent, round(avg(1.0 / (60 + dr) + 1.0 / (60 + lr)), 12) AS score FROM rk SEMI JOIN ch USING (qid, id) GROUP BY qid, id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(avg(1.0 / (60 + dr) + 1.0 / (60 + lr)), 12) DESC, id) <= 30),
+ cr AS (SELECT st.qid, parent, {share("coalesce(p3.text, '')")} AS x FROM st JOIN (SELECT id, text FROM p2) p3 USING (id) JOIN q ON q.qid = st.qid * 4), cx AS (SELECT qid, parent, rank() OVER (PARTITION BY qid ORDER BY x DESC) AS r FROM cr),
+ cy AS (SELECT qid, parent, min(r) AS r FROM cx GROUP BY ALL), fi AS (SELECT pa.qid, pa.parent, round(pa.score + coalesce(0.5 / (60 + r), 0.0), 9) AS score FROM pa LEFT JOIN cy USING (qid, parent))
+ SELECT qid, parent, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS INTEGER) AS pos FROM fi QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) <= 10"""
 
 _fused()
 assert Q

@@ -39,7 +39,7 @@ def extract_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_quoted(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).select("id", F.posexplode(X.quoted(F.col("metadata"))).alias("pos", "quoted"))
+    return messages(spark, d).select("id", F.posexplode(X.quoted(F.concat_ws("\n", "content", "metadata"))).alias("pos", "quoted"))
 
 
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -56,14 +56,13 @@ def turn_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of four turns at every second one, by numbering the turns of a session: a turn belongs to at most three windows."""
     m = messages(spark, d).where("session_id is not null")
     m = m.withColumn("i", F.row_number().over(Window.partitionBy("session_id").orderBy("timestamp", "id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("session_id")))
-    starts = F.filter(X.window_starts(F.col("n").cast("int")), lambda s: (s <= F.col("i")) & (F.col("i") < s + 4))
-    w = m.select("session_id", F.explode(starts).alias("start"), "content")
+    w = m.select("session_id", F.explode(X.windows_of(F.col("i"), F.col("n"))).alias("start"), "content")
     return w.groupBy("session_id", "start").agg(F.count("*").alias("n_turns"), F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("n_chars"))
 
 
 def durable_candidates(spark: SparkSession, d: str) -> DataFrame:
-    m = messages(spark, d)
-    return m.select("id", X.durable_candidate(F.col("role"), F.col("content")).alias("kind"), F.length(X.durable_excerpt(F.col("content"))).alias("excerpt_chars")).where("kind is not null")
+    m = messages(spark, d).select("id", X.durable_candidate(F.col("role"), F.col("content")).alias("c"), X.durable_excerpt(F.col("content")).alias("e"))
+    return m.where("c is not null").select("id", "c.*", F.length("e").alias("excerpt_chars"))
 
 
 def session_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -198,11 +197,17 @@ QUERIES = {
     )
 }
 
-# the SQL of names, facts, entities and pairs reads only ASCII messages, as its \\b is ASCII; the queries read all
-_ASCII = "a AS (SELECT * FROM m WHERE NOT regexp_matches(content, '[^\\x00-\\x7F]'))"
-_NAMES = "list_filter(list_distinct(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)), lambda x: length(x) > 2)"
-_FIRST = "list_filter(list_filter(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x, i: list_position(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), x) = i), lambda x: length(x) > 2)"
-_FACT = "(?i)\\b(\\w+(?:\\s+\\w+)?)\\s+(uses?|is|was|has|prefers?|decided|switched to|moved to)\\s+(\\w+(?:\\s+\\w+)?)\\b"
+# RE2 has no look-behind, so its words are set between two marks, which stand for their bounds and are taken out again
+_BLANK = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+"
+_MARKED = "regexp_replace(translate(content, chr(1) || chr(2), '  '), '([\\p{L}\\p{N}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+_CAPITALS = f"\\x01([A-Z][a-z]+(?:\\x02{_BLANK}\\x01[A-Z][a-z]+)*)\\x02"
+_RAW_NAMES = f"list_transform(regexp_extract_all({_MARKED}, '{_CAPITALS}', 1), lambda x: translate(x, chr(1) || chr(2), ''))"
+_NAMES = f"list_filter(list_distinct({_RAW_NAMES}), lambda x: length(x) > 2)"
+_FIRST = "list_filter(list_filter(r, lambda x, i: list_position(r, x) = i), lambda x: length(x) > 2)"
+_VERB = "uses?|is|was|has|prefers?|decided|switched\\x02 \\x01to|moved\\x02 \\x01to"
+_TWO = f"\\x01[^\\x01\\x02]+(?:\\x02{_BLANK}\\x01[^\\x01\\x02]+)?\\x02"
+_FACT = f"(?i)({_TWO}){_BLANK}\\x01({_VERB})\\x02{_BLANK}({_TWO})"
+_BARE = "translate({}, chr(1) || chr(2), '')"
 _SENT = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
 
 
@@ -227,7 +232,21 @@ def _bm25(docs: str, tok: str, variant: str, ctes: str = "", digits: int = 9) ->
 _TOP = " SELECT qid, id, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS pos FROM sc) WHERE pos <= 10"
 _DOCS = "SELECT doc_id AS id, text FROM documents"
 
+def _cue(words: str) -> str:
+    return f"regexp_matches({_MARKED}, '(?i)\\x01(?:" + words.replace(" ", "\\x02 \\x01") + ")\\x02')"
+
+
+_STRIP = f"regexp_replace({{}}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+_LINES = "list_transform(string_split_regex(regexp_replace(content, '(?s)```.*?```', '', 'g'), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'), lambda x: " + _STRIP.replace("{}", "x") + ")"
+_KEPT = f"list_transform(list_filter({_LINES}, lambda x: x <> '' AND NOT starts_with(x, 'http://') AND NOT starts_with(x, 'https://')), lambda x: regexp_replace(x, '^#{{1,6}}{_BLANK}', ''))"
+_EXCERPT = _STRIP.replace("{}", f"substr(array_to_string({_KEPT}, chr(10)), 1, 2400)")
+
 SQL = {
+    "durable_candidates": f"""WITH {M}, x AS (SELECT id, role, content, {_EXCERPT} AS e FROM m WHERE NOT regexp_matches(content, '{X.SECRET_CUES}')),
+ k AS (SELECT id, length(e) AS n, CASE WHEN role IN ('user', 'human') AND {_cue(X.USER_GLOBAL_CUES)} THEN 1 WHEN role IN ('user', 'human') AND {_cue(X.USER_PROJECT_CUES)} THEN 2
+  WHEN role IN ('assistant', 'bot', 'ai') AND {_cue(X.ASSISTANT_OUTCOME_CUES)} AND e <> '' THEN 3 END AS k FROM x)
+ SELECT id, CASE k WHEN 1 THEN 'global' ELSE 'project' END AS scope, CASE k WHEN 1 THEN 'user_preference' WHEN 2 THEN 'project_fact' ELSE 'work_outcome' END AS kind,
+  CASE k WHEN 3 THEN 'assistant_reported' ELSE 'user_stated' END AS verification, CASE k WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 0.65::DOUBLE END AS confidence, CAST(n AS INTEGER) AS excerpt_chars FROM k WHERE k IS NOT NULL""",
     "boolean_search": f"""WITH {M}, p AS (SELECT id, ' ' || array_to_string({TOKENS.format("coalesce(content, '')")}, ' ') || ' ' AS s FROM m)
  SELECT id FROM p WHERE contains(s, ' rollback steps ') OR (contains(s, ' ledger ') AND contains(s, ' currency ')) OR (contains(s, ' greyfen ') AND NOT contains(s, ' office '))""",
     "session_documents": f"""WITH {M}, x AS (SELECT * FROM m WHERE session_id IS NOT NULL AND trim(content) <> '')
@@ -237,10 +256,10 @@ SQL = {
     "tokenize_counts": f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INTEGER) AS n_tokens FROM documents",
     "document_frequency": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format('text')})) AS term FROM documents) GROUP BY term",
     "token_estimate": f"WITH {M} SELECT id, CAST(coalesce(len(regexp_extract_all(content, '[^\\s]+')), 0) AS INTEGER) AS n_words FROM m",
-    "extract_names": f"WITH {M}, {_ASCII} SELECT name, count(*) AS n_messages FROM (SELECT unnest({_NAMES}) AS name FROM a) GROUP BY name",
-    "extract_quoted": f"""WITH {M}, x AS (SELECT id, regexp_extract_all(metadata, '"([^"]+)"', 1) AS l FROM m) SELECT id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS quoted FROM x""",
-    "extract_facts": f"""WITH {M}, {_ASCII}, x AS (SELECT unnest(regexp_extract_all(content, '{_FACT}', 0)) AS w FROM a)
- SELECT regexp_extract(w, '{_FACT}', 1) AS subject, replace(lower(regexp_extract(w, '{_FACT}', 2)), ' ', '_') AS predicate, regexp_extract(w, '{_FACT}', 3) AS object, count(*) AS n FROM x GROUP BY ALL""",
+    "extract_names": f"WITH {M} SELECT name, count(*) AS n_messages FROM (SELECT unnest({_NAMES}) AS name FROM m) GROUP BY name",
+    "extract_quoted": f"""WITH {M}, x AS (SELECT id, regexp_extract_all(concat_ws(chr(10), content, metadata), '"([^"]+)"', 1) AS l FROM m) SELECT id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS quoted FROM x""",
+    "extract_facts": f"""WITH {M}, x AS (SELECT unnest(regexp_extract_all({_MARKED}, '{_FACT}', 0)) AS w FROM m)
+ SELECT {_BARE.format(f"regexp_extract(w, '{_FACT}', 1)")} AS subject, replace(lower({_BARE.format(f"regexp_extract(w, '{_FACT}', 2)")}), ' ', '_') AS predicate, {_BARE.format(f"regexp_extract(w, '{_FACT}', 3)")} AS object, count(*) AS n FROM x GROUP BY ALL""",
     "sentence_windows": f"""WITH s AS (SELECT doc_id, {_SENT} AS l FROM documents),
  w AS (SELECT doc_id, l, unnest(list_distinct(list_append(range(0, greatest(0, len(l) - 4) + 1, 2), greatest(0, len(l) - 4)))) AS start FROM s WHERE len(l) > 0)
  SELECT doc_id, CAST(start AS INTEGER) AS start, md5(array_to_string(l[start + 1 : start + 4], ' ')) AS text_md5 FROM w""",
@@ -274,11 +293,11 @@ SQL = {
     + """, mx AS (SELECT qid, CAST(split_part(id, '#', 1) AS BIGINT) AS parent, max(score) AS score FROM sc GROUP BY ALL)
  SELECT qid, parent, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent) AS pos FROM mx) WHERE pos <= 10""",
     "competition_ranks": "SELECT court, doc_id, CAST(rank() OVER (PARTITION BY court ORDER BY n_chars DESC) AS INTEGER) AS rank FROM documents",
-    "resolve_entities": f"""WITH {M}, {_ASCII}, n AS (SELECT lower(trim(unnest(list_concat(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1), regexp_extract_all(content, '"([^"]+)"', 1))))) AS k, ts FROM a),
- n2 AS (SELECT k, min(ts) AS ts FROM n WHERE length(k) > 2 AND trim(k) <> '' GROUP BY k),
+    "resolve_entities": f"""WITH {M}, n AS (SELECT lower(trim(unnest(list_concat({_NAMES}, regexp_extract_all(content, '"([^"]+)"', 1))))) AS k, ts FROM m),
+ n2 AS (SELECT k, min(ts) AS ts FROM n WHERE k <> '' GROUP BY k),
  e AS (SELECT lower(trim(name)) AS k, entity_type, created_at AS c FROM (SELECT DISTINCT ON (lower(trim(id))) * FROM entities) WHERE trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY created_at, lower(trim(id))) = 1)
  SELECT coalesce(e.k, n2.k) AS name_key, e.entity_type, round(coalesce(e.c, n2.ts), 3) AS created_at, e.k IS NULL AS is_new FROM e FULL JOIN n2 ON e.k = n2.k""",
-    "cooccurrence_pairs": f"""WITH {M}, {_ASCII}, l AS (SELECT id, {_FIRST} AS l FROM a), x AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l)
+    "cooccurrence_pairs": f"""WITH {M}, y AS (SELECT id, {_RAW_NAMES} AS r FROM m), l AS (SELECT id, {_FIRST} AS l FROM y), x AS (SELECT id, unnest(l) AS x, unnest(range(len(l))) AS i FROM l)
  SELECT least(p.x, r.x) AS a, greatest(p.x, r.x) AS b, count(*) AS n FROM x p JOIN x r ON p.id = r.id AND r.i > p.i AND r.i < p.i + 5 AND p.x <> r.x GROUP BY ALL""",
 }
 
