@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sediment.functions.keys import object_key
 from sediment.functions.text import render_fact
 from sediment.operators import compression, consolidation, dense, evaluation, graph, retrieval, search, spectral, temporal
-from sediment.operators.lexical import bm25, top_k
+from sediment.operators.lexical import Matched, bm25, top_k
 from sediment.plans.base import AT, COMPARED, HASHED, NOW, E, M, Q, T, TOKENS, asked, embedding, entities, messages, triples
 from sediment.sources.tables import spread, table
 
@@ -170,8 +170,8 @@ def metric_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     """Two lexical runs over the documents, score by score."""
-    docs, q = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark)
-    a, b = (top_k(bm25(docs, q, v).withColumn("score", F.round("score", 9)), 20) for v in ("okapi", "plus"))
+    matched = Matched(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), asked(spark))
+    a, b = (top_k(matched.score(v).withColumn("score", F.round("score", 9)), 20) for v in ("okapi", "plus"))
     c = evaluation.compare(a, b, ["qid", "id"], "score")
     return c.select("qid", "id", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"), F.round("delta", 6).alias("delta"), "state")
 

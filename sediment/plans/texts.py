@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import text as X
 from sediment.operators import consolidation, ingest, retrieval, search, temporal
-from sediment.operators.lexical import bm25, bm25_many, top_k
+from sediment.operators.lexical import Matched, bm25, bm25_many, top_k
 from sediment.plans.base import AT, M, NOW, Q, TOKENS, asked, entities, messages, triples
 from sediment.sources import archive, store
 from sediment.sources.tables import spread, table
@@ -136,7 +136,7 @@ def window_bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Sentence windows of documents ranked, their scores collapsed to the document's largest."""
     w = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(X.windows(X.sentences(F.col("text")))).alias("w"))
     w = w.select(F.concat_ws("#", "doc_id", "w.start").alias("id"), F.col("doc_id").alias("parent"), F.col("w.text").alias("text"))
-    scores = retrieval.collapse(bm25(w, asked(spark)), w).withColumn("score", F.round("score", 9))
+    scores = bm25(w, asked(spark), keep=("parent",)).groupBy("qid", "parent").agg(F.round(F.max("score"), 9).alias("score"))
     return _rounded(top_k(scores, 10, tie="parent"))
 
 
@@ -147,8 +147,8 @@ def competition_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Okapi and plus rankings of the documents fused by reciprocal ranks."""
-    docs, q = _documents(spark, d), asked(spark)
-    ranks = [top_k(bm25(docs, q, v).withColumn("score", F.round("score", 9)), 50).select("qid", "id", (F.col("pos") - 1).alias("rank")) for v in ("okapi", "plus")]
+    matched = Matched(_documents(spark, d), asked(spark))
+    ranks = [top_k(matched.score(v).withColumn("score", F.round("score", 9)), 50).select("qid", "id", (F.col("pos") - 1).alias("rank")) for v in ("okapi", "plus")]
     return _rounded(top_k(retrieval.rrf(ranks[0].unionByName(ranks[1])).withColumn("score", F.round("score", 9)), 10))
 
 
