@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import leakage, mixing, names, neighbours, pii, sessions, spans
+from sediment.llm import leakage, mixing, names, neighbours, paragraphs, pii, sessions, spans
 from sediment.sources.tables import spread, table
 
 
@@ -116,7 +116,13 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return found.join(size, "id").select(F.col("id").alias("doc_id"), "n_spans", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("shared_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p7_found, p7_groups, p8_found, p8_items, p8_cleaned, p9_mix, p9_shares, p10_found, p10_coverage)}
+def p10_removals(spark: SparkSession, d: str) -> DataFrame:
+    """Of every paragraph of the rulings that is as long as a span its class of near-duplicates, and whether it stays."""
+    c = paragraphs.paragraph_classes(_docs(spark, d), min_chars=200)
+    return c.select(F.col("id").alias("doc_id"), "no", F.col("first_id").alias("class_doc_id"), F.col("first_no").alias("class_no"), "n_links", "stays")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_masked, p2_found, p2_neighbours, p4_found, p4_conversations, p7_found, p7_groups, p8_found, p8_items, p8_cleaned, p9_mix, p9_shares, p10_found, p10_coverage, p10_removals)}
 
 _ROLE = "CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'ai' THEN 'assistant' WHEN 'system' THEN 'system' ELSE 'unknown' END"
 
