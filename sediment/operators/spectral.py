@@ -1,12 +1,20 @@
-"""Spectral analytics: adjacency, Laplacian, gap, clusters and importance. Tables stay distributed; the eigenvectors of graphs of up
-to ``dense_nodes`` nodes come from one dense solve, larger graphs use power iteration by joins."""
+"""Spectral analytics: adjacency, Laplacian, gap, clusters and importance.
+
+Tables stay distributed. The smallest eigenvalues of the Laplacian and their vectors come from one iteration, a block
+conjugate gradient with Rayleigh-Ritz steps, that ends when the residuals are below a stated tolerance and is an error if
+they don't get there. Its vectors lie in the driver up to a stated number of links, beyond that in a table; the steps are the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.operators.components import components
 from sediment.session import cut
 
 #: Weights of the kinds of relation.
@@ -53,65 +61,193 @@ def radius(gap: Column) -> Column:
     return F.when(gap <= 0, 10).otherwise(F.greatest(F.lit(1), F.least(F.ceil(2 / gap), F.lit(15)))).cast("int")
 
 
-def _dense(adj: DataFrame, dense_nodes: int) -> tuple[list[str], np.ndarray] | None:
-    nodes = [r[0] for r in adj.select(F.col("src").alias("id")).distinct().orderBy("id").limit(dense_nodes + 1).collect()]
-    if len(nodes) > dense_nodes:
-        return None
-    at = {n: i for i, n in enumerate(nodes)}
-    a = np.zeros((len(nodes), len(nodes)))
-    for r in adj.collect():  # at most dense_nodes ** 2 entries
-        a[at[r.src], at[r.dst]] += r.w
-    d = a.sum(1)
-    s = np.where(d > 0, 1 / np.sqrt(np.maximum(d, 1e-300)), 0)
-    return nodes, np.eye(len(nodes)) - a * s[:, None] * s[None, :]
-
-
-def _sparse_gap(adj: DataFrame, rounds: int = 500) -> float:
-    """By power iteration on 2I - L on the driver, for links that fit there."""
-    t = adj.toArrow()
-    names, at = np.unique(np.array(t["src"].to_pylist() + t["dst"].to_pylist(), object).astype(str), return_inverse=True)
-    i, j, w, n = at[: len(t)], at[len(t) :], t["w"].to_numpy(), len(names)
-    d = np.bincount(i, w, n)
-    root = np.sqrt(np.maximum(d, 0))
-    s = np.where(d > 0, 1 / np.maximum(root, 1e-150), 0)
-    v = w * s[i] * s[j]
-    x = np.random.default_rng(42).normal(size=n)
-    value = 0.0
-    for _ in range(rounds):
-        x -= root * (x @ root) / max(root @ root, 1e-300)
-        x /= max(np.linalg.norm(x), 1e-300)
-        y = x + np.bincount(i, v * x[j], n)
-        value, x = 2 - x @ y, y
-    return max(float(value), 1e-10)
+class _Held:
+    """The normalised adjacency of a graph that fits into the driver, and blocks of vectors over its nodes."""
+
+    def __init__(self, adj: DataFrame) -> None:
+        t = adj.select("src", "dst", "w").toArrow()  # at most local_links rows
+        ends = np.array(t["src"].to_pylist() + t["dst"].to_pylist(), object).astype(str)
+        self.nodes, at = np.unique(ends, return_inverse=True)
+        i, j, w = at[: len(t)], at[len(t) :], t["w"].to_numpy().astype(float)
+        order = np.argsort(i, kind="stable")
+        self.j, w, i = j[order], w[order], i[order]
+        self.first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+        self.rows, self.n = i[self.first], len(self.nodes)
+        d = np.bincount(i, w, self.n)
+        self.root = np.sqrt(np.maximum(d, 0))
+        s = np.where(d > 0, 1 / np.maximum(self.root, 1e-150), 0)
+        self.v = w * s[i] * s[self.j]
+
+    def start(self, b: int) -> np.ndarray:
+        return np.random.default_rng(42).normal(size=(self.n, b))
+
+    def known(self) -> np.ndarray:
+        return (self.root / max(np.linalg.norm(self.root), 1e-300))[:, None]
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for c in range(0, x.shape[1], 4):
+            out[self.rows, c : c + 4] = np.add.reduceat(self.v[:, None] * x[self.j, c : c + 4], self.first, axis=0)
+        return out
+
+    gram = staticmethod(lambda x: x.T @ x)
+    mix = staticmethod(lambda x, c: x @ c)
+    join = staticmethod(lambda *parts: np.hstack(parts))
+    part = staticmethod(lambda x, i, n: x[:, i * n : (i + 1) * n])
+
+    def frame(self, x: np.ndarray, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(str(n), [float(y) for y in r]) for n, r in zip(self.nodes, x, strict=True)], "id string, x array<double>")
+
+
+class _Spread:
+    """The same for a graph of any size: blocks are tables of ``id`` and ``x`` (array<double>)."""
+
+    def __init__(self, adj: DataFrame) -> None:
+        d = weighted_degree(adj).where("degree > 0")
+        self.d = cut(d)
+        a, b = self.d.select(F.col("id").alias("src"), F.col("degree").alias("ds")), self.d.select(F.col("id").alias("dst"), F.col("degree").alias("dd"))
+        self.links = cut(adj.join(a, "src").join(b, "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("v")))
+        whole = self.d.agg(F.count("*").alias("n"), F.sum("degree").alias("t")).first()
+        self.n, self.total = whole.n, whole.t or 1.0
+
+    def start(self, b: int) -> DataFrame:
+        return cut(self.d.select("id", F.array(*(F.xxhash64("id", F.lit(i)) / 2.0**63 for i in range(b))).alias("x")))
+
+    def known(self) -> DataFrame:
+        return self.d.select("id", F.array(F.sqrt(F.col("degree") / self.total)).alias("x"))
+
+    def apply(self, x: DataFrame) -> DataFrame:
+        b = len(x.first().x)
+        y = self.links.join(x.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*(F.sum(F.col("v") * F.col("x")[i]).alias(f"y{i}") for i in range(b)))
+        return cut(self.d.select("id").join(y, "id", "left").select("id", F.array(*(F.coalesce(f"y{i}", F.lit(0.0)) for i in range(b))).alias("x")))
+
+    @staticmethod
+    def _rows(batch: pa.RecordBatch) -> np.ndarray:
+        x = batch["x"]
+        return x.flatten().to_numpy().reshape(len(x), -1) if len(x) else np.zeros((0, 0))
+
+    @classmethod
+    def gram(cls, x: DataFrame) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    m = cls._rows(batch)
+                    total = m.T @ m if total is None else total + m.T @ m
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        parts = [np.array(r.g) for r in x.select("x").mapInArrow(run, "g array<double>").collect()]  # a small matrix a task
+        total = np.sum(parts, axis=0)
+        return total.reshape(int(len(total) ** 0.5), -1)
+
+    @classmethod
+    def mix(cls, x: DataFrame, c: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch["id"], pa.array(list(cls._rows(batch) @ c), pa.list_(pa.float64()))], names=["id", "x"])
+
+        return cut(x.select("id", "x").mapInArrow(run, "id string, x array<double>"))
+
+    @staticmethod
+    def join(*parts: DataFrame) -> DataFrame:
+        out = parts[0]
+        for i, p in enumerate(parts[1:]):
+            out = out.join(p.withColumnRenamed("x", f"_x{i}"), "id").select("id", F.concat("x", f"_x{i}").alias("x"))
+        return out
 
+    @staticmethod
+    def part(x: DataFrame, i: int, n: int) -> DataFrame:
+        return x.select("id", F.slice("x", i * n + 1, n).alias("x"))
 
-def spectral_gap(adj: DataFrame, dense_nodes: int = 2000, local_links: int = 1_000_000, rounds: int = 30) -> float:
-    """The second smallest eigenvalue of the Laplacian, at least 1e-10; 1.0 for fewer than three nodes.
+    @staticmethod
+    def frame(x: DataFrame, spark: SparkSession) -> DataFrame:
+        return x
 
-    Exact up to ``dense_nodes`` nodes; by power iteration on the driver up to ``local_links`` links, beyond by joins.
+
+def _engine(adj: DataFrame, local_links: int) -> _Held | _Spread:
+    return _Held(adj) if adj.limit(local_links + 1).count() <= local_links else _Spread(adj)
+
+
+def _smallest(op: _Held | _Spread, k: int, tolerance: float, most_rounds: int) -> tuple[np.ndarray, np.ndarray | DataFrame]:
+    """The ``k`` smallest eigenvalues of the Laplacian beyond the first, which is 0, and their vectors: those of the largest of the normalised adjacency, orthogonal to the
+    first. Each round widens the block of vectors by its residuals and its last steps and keeps the best; it ends when all ``k`` residuals are below ``tolerance``."""
+    b = min(k + 2, op.n - 1)
+    k = min(k, b)
+    x, p = op.start(b), None
+    z = op.known()
+    nx = np_ = None
+    for _ in range(most_rounds):
+        if nx is None:
+            x = _cleared(op, op.join(z, x), b)
+            nx = op.apply(x)
+        # within the block: X' X and X' N X from one Gram matrix
+        g = op.gram(op.join(x, nx))
+        c, mu = _ritz(g[:b, :b], g[:b, b:], b)
+        both = op.mix(op.join(x, nx), np.block([[c, np.zeros_like(c), -c * mu], [np.zeros_like(c), c, c]]))  # X, N X, residuals N X - X mu
+        width = c.shape[1]
+        size = np.sqrt(np.maximum(np.diag(op.gram(both))[2 * width :], 0))
+        x, nx, r = (op.part(both, i, width) for i in range(3))
+        if (size[:k] < tolerance).all():
+            return 1 - mu[:k], op.part(x, 0, k)
+        r = _cleared(op, op.join(z, r), width)
+        nr = op.apply(r)
+        parts = [x, r] if p is None else [x, r, p]
+        images = [nx, nr] if p is None else [nx, nr, np_]
+        whole = op.join(*parts, *images)
+        g = op.gram(whole)
+        m = g.shape[0] // 2
+        c, _ = _ritz(g[:m, :m], g[:m, m:], b)
+        zero = np.zeros_like(c)
+        step = c.copy()
+        step[:width] = 0
+        new = op.mix(whole, np.block([[c, zero, step, zero], [zero, c, zero, step]]))
+        n = c.shape[1]
+        x, nx, p, np_ = (op.part(new, i, n) for i in range(4))
+        b = n
+    raise RuntimeError(f"the eigenvalues are not known to {tolerance} after {most_rounds} rounds")
+
+
+def _cleared(op: _Held | _Spread, zx: np.ndarray | DataFrame, b: int):
+    """Without the part along the first column, each at length one."""
+    g = op.gram(zx)
+    c = np.vstack([-g[:1, 1:] / max(g[0, 0], 1e-300), np.eye(b)])
+    length = np.sqrt(np.maximum(np.diag(c.T @ g @ c), 1e-300))
+    return op.mix(zx, c / length)
+
+
+def _ritz(g: np.ndarray, h: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the space with Gram matrix ``g`` the ``b`` best combinations and their values; directions that are nearly dependent are left out."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+    w, q = np.linalg.eigh(scale[:, None] * g * scale)
+    keep = w > 1e-10 * max(w.max(), 1e-300)
+    base = scale[:, None] * q[:, keep] / np.sqrt(w[keep])
+    values, c = np.linalg.eigh(base.T @ ((h + h.T) / 2) @ base)
+    best = np.argsort(-values)[:b]
+    return base @ c[:, best], values[best]
+
+
+def spectral_gap(adj: DataFrame, local_links: int = 1_000_000, tolerance: float = 1e-5, most_rounds: int = 1000) -> float:
+    """The second smallest eigenvalue of the Laplacian, at least 1e-10; 1.0 for fewer than three nodes. A graph of several components has none: 1e-10.
+
+    The residual is at most ``tolerance``, so the value is exact to its square over the distance to the next eigenvalue, at any size of graph.
     """
-    held = _dense(adj, dense_nodes)
-    if held is not None:
-        nodes, lap = held
-        return 1.0 if len(nodes) < 3 else max(float(np.linalg.eigvalsh(lap)[1]), 1e-10)
-    if adj.limit(local_links + 1).count() <= local_links:
-        return _sparse_gap(adj)
-    # power iteration on 2I - L with the known first vector taken out
-    d = cut(weighted_degree(adj).where("degree > 0"))
-    total = d.agg(F.sum("degree")).first()[0]
-    lap = cut(laplacian(adj))
-    v = cut(d.select("id", "degree", (F.xxhash64("id") / 2.0**63).alias("x")))
-    value = 0.0
-    for _ in range(rounds):
-        along = v.agg(F.sum(F.col("x") * F.sqrt("degree"))).first()[0] / total
-        v = v.withColumn("x", F.col("x") - F.lit(along) * F.sqrt("degree"))
-        size = v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        v = v.withColumn("x", F.col("x") / size)
-        y = lap.join(v.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-        v = cut(v.join(y, "id").withColumn("_n", 2 * F.col("x") - F.col("y")))
-        value = 2 - (v.agg(F.sum(F.col("x") * F.col("_n"))).first()[0] or 0.0)
-        v = v.select("id", "degree", F.col("_n").alias("x"))
-    return max(value, 1e-10)
+    adj = cut(adj)
+    if adj.select("src").distinct().limit(3).count() < 3:
+        return 1.0
+    if _parts(adj) > 1:
+        return 1e-10
+    return max(float(_smallest(_engine(adj, local_links), 1, tolerance, most_rounds)[0][0]), 1e-10)
+
+
+def _components(adj: DataFrame) -> DataFrame:
+    own = components(adj.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return adj.select(F.col("src").alias("node")).distinct().join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _parts(adj: DataFrame) -> int:
+    return _components(adj).select("component").distinct().count()
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> np.ndarray:
@@ -123,7 +259,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> np.ndarr
     c = np.array(c)
     own = np.zeros(len(x), int)
     for _ in range(rounds):
-        new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        new = np.array([((x - m) ** 2).sum(1) for m in c]).argmin(0)
         if (new == own).all() and _:
             break
         own = new
@@ -131,43 +267,48 @@ def _kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 50) -> np.ndarr
     return own
 
 
-def clusters(adj: DataFrame, dense_nodes: int = 2000, seed: int = 42) -> DataFrame:
-    """``id``, ``cluster`` of all nodes with links. Small graphs: spectral, with as many clusters as before the widest gap of eigenvalues. Larger ones: power iteration clustering."""
-    spark = adj.sparkSession
-    held = _dense(adj, dense_nodes)
-    if held is None:
-        from pyspark.ml.clustering import PowerIterationClustering
-
-        num = adj.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), "w").where("src < dst")
-        k = max(2, int(adj.select("src").distinct().count() ** 0.5 / 2))
-        own = PowerIterationClustering(k=k, maxIter=15, weightCol="w").assignClusters(num)
-        ids = adj.select(F.col("src").alias("id")).distinct()
-        return ids.join(own.withColumnRenamed("id", "_h"), F.xxhash64("id") == F.col("_h")).select("id", "cluster")
-    nodes, lap = held
-    if len(nodes) < 3:
-        return spark.createDataFrame([(n, 0) for n in nodes], "id string, cluster int")
-    values, vectors = np.linalg.eigh(lap)
-    most = min(len(nodes) // 2, 32)
-    gaps = np.diff(values[1 : most + 2])
-    k = int(np.argmax(gaps)) + 2 if len(gaps) else 2
-    x = vectors[:, 1 : k + 1]
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    own = np.unique(_kmeans(x, min(k, len(nodes)), seed), return_inverse=True)[1]
-    return spark.createDataFrame([(n, int(c)) for n, c in zip(nodes, own, strict=True)], "id string, cluster int")
-
-
-def importance(adj: DataFrame, budget: int, dense_nodes: int = 2000) -> DataFrame:
-    """``id``, ``importance`` in [0, 1]: sum of squared eigenvector entries by eigenvalue; beyond ``dense_nodes`` nodes the weighted degree stands for it."""
-    held = _dense(adj, dense_nodes)
-    if held is None or len(held[0]) < 3:
-        d = weighted_degree(adj)
-        return d.crossJoin(F.broadcast(d.agg(F.max("degree").alias("_m")))).select("id", (F.col("degree") / F.col("_m")).alias("importance"))
-    nodes, lap = held
-    values, vectors = np.linalg.eigh(lap)
-    k = max(2, min(int((budget // 15) ** 0.5) + 1, len(nodes) - 1, 20))
-    raw = sum(vectors[:, i] ** 2 / max(values[i], 1e-10) for i in range(1, k))
-    top = raw.max() if raw.max() > 0 else 1.0
-    return adj.sparkSession.createDataFrame([(n, float(v / top)) for n, v in zip(nodes, raw, strict=True)], "id string, importance double")
+def _embedding(adj: DataFrame, k: int, local_links: int, tolerance: float, most_rounds: int):
+    """The ``k`` smallest eigenvalues beyond the first, their vectors, and the engine. The zeros of further components come out as any others."""
+    op = _engine(adj, local_links)
+    values, x = _smallest(op, min(k, op.n - 1), tolerance, most_rounds)
+    return values, x, op
+
+
+def clusters(adj: DataFrame, local_links: int = 1_000_000, most: int = 32, seed: int = 42, tolerance: float = 1e-4, most_rounds: int = 1000) -> DataFrame:
+    """``id``, ``cluster`` of all nodes with links, at any size of graph: as many clusters, up to ``most``, as stand before the widest gap of the eigenvalues; k-means over the nodes' entries in
+    those eigenvectors. Fewer than three nodes are one cluster."""
+    spark, adj = adj.sparkSession, cut(adj)
+    n = adj.select("src").distinct().limit(2 * most + 2).count()
+    if n < 3:
+        return adj.select(F.col("src").alias("id")).distinct().withColumn("cluster", F.lit(0))
+    values, x, op = _embedding(adj, min(most, n // 2) + 1, local_links, tolerance, most_rounds)
+    gaps = np.diff(values)
+    k = min(int(np.argmax(gaps)) + 2 if len(gaps) else 2, max(1, n // 2)) if n <= 2 * most else (int(np.argmax(gaps)) + 2 if len(gaps) else 2)
+    kept = op.mix(x, np.eye(len(values))[:, : min(k, len(values))])
+    if isinstance(op, _Held):
+        x = kept / np.maximum(np.linalg.norm(kept, axis=1, keepdims=True), 1e-12)
+        own = np.unique(_kmeans(x, k, seed), return_inverse=True)[1]
+        return spark.createDataFrame([(str(a), int(c)) for a, c in zip(op.nodes, own, strict=True)], "id string, cluster int")
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    rows = cut(kept.select("id", array_to_vector(F.transform("x", lambda v: v / F.greatest(norm, F.lit(1e-12)))).alias("features")))
+    return KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
+
+
+def importance(adj: DataFrame, budget: int, local_links: int = 1_000_000, tolerance: float = 1e-4, most_rounds: int = 1000) -> DataFrame:
+    """``id``, ``importance`` in [0, 1], at any size of graph: the sum of squared eigenvector entries by eigenvalue over the smallest beyond the first. Fewer than three nodes: all 1."""
+    spark, adj = adj.sparkSession, cut(adj)
+    n = adj.select("src").distinct().limit(22).count()
+    if n < 3:
+        return adj.select(F.col("src").alias("id")).distinct().withColumn("importance", F.lit(1.0))
+    k = max(2, min(int((budget // 15) ** 0.5) + 1, n - 1, 20))
+    values, x, op = _embedding(adj, k - 1, local_links, tolerance, most_rounds)
+    weights = F.array(*(F.lit(float(1 / max(v, 1e-10))) for v in values))
+    raw = op.frame(x, spark).select("id", F.aggregate(F.zip_with("x", weights, lambda v, w: v * v * w), F.lit(0.0), lambda a, v: a + v).alias("_r"))
+    top = raw.agg(F.max("_r").alias("_t"))
+    return raw.crossJoin(F.broadcast(top)).select("id", F.when(F.col("_t") > 0, F.col("_r") / F.col("_t")).otherwise(0.0).alias("importance"))
 
 
 def local_gap(triples: DataFrame, start: DataFrame, steps: int = 5) -> tuple[float, int]:
