@@ -392,7 +392,7 @@ class VectorIndex:
             out[tbl] = Cells(stack(fine), stack(coarse), of) if len(coarse) else Cells(stack(fine))
         return out
 
-    def search(self, queries: DataFrame, k: int = 10, cells_probed: int = 12, beam: int = 48, query_type: str = "f4", query_rows: int = 50_000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, cells_probed: int = 12, beam: int = 96, query_type: str = "f4", query_rows: int = 50_000) -> DataFrame:
         """The ``k`` most similar other vectors of ``queries`` (``tbl``, ``id``, ``vec``): ``tbl``, ``id``, ``neighbour_id``, ``sim``; see nearest."""
         dim = self.dim
         shards = self.spark.read.parquet(f"{self.path}/shards")
@@ -429,7 +429,7 @@ class VectorIndex:
 
 
 def nearest(
-    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 16_384, cells_probed: int = 12, beam: int = 48, sample_rows: int = 40_000, query_type: str = "f4", flat_cells: int = 1000
+    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 16_384, cells_probed: int = 12, beam: int = 96, sample_rows: int = 40_000, query_type: str = "f4", flat_cells: int = 1000
 ) -> DataFrame:
     """The ``k`` most similar other vectors for each probe, by an index built for this call and kept in the shared folder.
 
