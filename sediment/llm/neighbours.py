@@ -198,6 +198,7 @@ class FlatGraph:
         q = len(queries)
         seen = np.zeros((q, len(self.v) + 1), bool)
         seen[:, -1] = True  # the padding's place
+        latest = np.empty(seen.shape, np.int32)
         np.put_along_axis(seen, ids, True, 1)
         width = ids.shape[1]
         ids = np.pad(ids, ((0, 0), (0, max(0, beam - width))), constant_values=-1)[:, :beam]
@@ -218,8 +219,10 @@ class FlatGraph:
             flat = fresh.ravel()
             new = ~seen[active[row], flat]
             row, flat = row[new], flat[new]
-            key = np.unique(row * (len(self.v) + 1) + flat)
-            row, flat = key // (len(self.v) + 1), key % (len(self.v) + 1)
+            turn = np.arange(len(row), dtype=np.int32)
+            latest[active[row], flat] = turn  # of a node that several offer one stays
+            one = latest[active[row], flat] == turn
+            row, flat = row[one], flat[one]
             seen[active[row], flat] = True
             if len(row):
                 s = np.einsum("ij,ij->i", queries[active[row]], self.v[flat])
@@ -292,7 +295,7 @@ def _top(rows: np.ndarray, s: np.ndarray, names: np.ndarray, w: int, n: int) ->
 class VectorIndex:
     """Stored graphs under ``path``: ``centres`` and ``shards``, one row of flat arrays each. Built once by build, asked many times."""
 
-    def __init__(self, spark: SparkSession, path: str, dim: int = 64, shard_rows: int = 16_384, sample_rows: int = 40_000, flat_cells: int = 1000, most_cells: int = 200_000) -> None:
+    def __init__(self, spark: SparkSession, path: str, dim: int = 64, shard_rows: int = 8192, sample_rows: int = 40_000, flat_cells: int = 1000, most_cells: int = 200_000) -> None:
         self.spark, self.path, self.dim, self.shard_rows, self.sample_rows, self.flat_cells, self.most_cells = spark, path, dim, shard_rows, sample_rows, flat_cells, most_cells
 
     def _place(self, cells: dict[str, Cells], least: int | None, kind: str = "f4", count: bool = False):
@@ -311,7 +314,8 @@ class VectorIndex:
                         met, n = np.unique(cell, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(met)), pa.array(met.astype(np.int32)), pa.array(n.astype(np.int64))], names=["tbl", "cell", "n"])
                         continue
-                    raw = pa.array([r.tobytes() for r in v[own].astype(kind)], pa.binary())
+                    flat = np.ascontiguousarray(v[own], dtype=kind)
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(flat.itemsize * dim), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
                     rep = pa.array(at)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rep)), pa.array(cell.astype(np.int32)), ids.take(pa.array(own)).take(rep), raw.take(rep)], names=["tbl", "cell", "id", "raw"])
 
@@ -429,7 +433,7 @@ class VectorIndex:
 
 
 def nearest(
-    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 16_384, cells_probed: int = 12, beam: int = 96, sample_rows: int = 40_000, query_type: str = "f4", flat_cells: int = 1000
+    vectors: DataFrame, probes: DataFrame | None, k: int = 10, dim: int = 64, shard_rows: int = 8192, cells_probed: int = 12, beam: int = 96, sample_rows: int = 40_000, query_type: str = "f4", flat_cells: int = 1000
 ) -> DataFrame:
     """The ``k`` most similar other vectors for each probe, by an index built for this call and kept in the shared folder.
 
