@@ -40,8 +40,13 @@ class Memory:
     def triples(self) -> DataFrame:
         return self.store.read("triples")
 
+    @property
+    def quarantine(self) -> DataFrame:
+        """Facts that were not taken, as they are older than an open fact that they would close."""
+        return self.store.read("quarantine") if "quarantine" in self.store.versions() else self.spark.createDataFrame([], TRIPLES)
+
     def remember(self, messages: DataFrame) -> dict[str, int]:
-        """Stores a batch of messages (known ids are skipped), extracts names and facts, resolves and supersedes them."""
+        """Stores a batch of messages (known ids are skipped), extracts names and facts, resolves and supersedes them. Facts that come too late go to the quarantine."""
         if self.quota is not None and self.store.size() >= self.quota:
             raise RuntimeError("the store is full")
         cols = self.messages.columns
@@ -67,9 +72,10 @@ class Memory:
         seq = F.row_number().over(Window.partitionBy("subject_id", "predicate").orderBy("created_at", "id"))
         value = F.coalesce(F.concat(F.lit("i:"), F.col("object_id")), F.concat(F.lit("v:"), F.col("object_value")))
         rows = old.unionByName(t).drop("valid_until").withColumn("value", value).withColumn("seq", seq).withColumn("replaces", ~F.lower("predicate").isin(*ingest.ADDITIVE))
-        done = temporal.supersede_any(rows, ["subject_id", "predicate"]).where("not rejected").select(t.columns)
+        done = temporal.supersede_any(rows, ["subject_id", "predicate"])
+        late, done = done.where("rejected").select(t.columns), done.where("not rejected").select(t.columns)
         rest = self.triples.join(old.select("id"), "id", "left_anti").select(t.columns)
-        made = self.store.publish(messages=self.messages.unionByName(new), entities=self.entities.unionByName(fresh), triples=rest.unionByName(done))
+        made = self.store.publish(messages=self.messages.unionByName(new), entities=self.entities.unionByName(fresh), triples=rest.unionByName(done), quarantine=self.quarantine.unionByName(late))
         for x in (new, said, resolved):
             x.unpersist()
         return made
@@ -162,4 +168,8 @@ class Memory:
         return due
 
     def restore(self, path: str) -> dict[str, int]:
+        """Brings back archived messages that the store lacks. An archive with a damaged line is refused as a whole."""
+        bad = archive.read_archive(self.spark, path).where("not ok").select("error").limit(1).collect()
+        if bad:
+            raise ValueError(f"the archive is damaged: {bad[0].error}")
         return self.store.publish(messages=archive.restore(self.messages, archive.read_archive(self.spark, path)))

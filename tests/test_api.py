@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sediment.api import MESSAGES, Memory
@@ -51,3 +52,20 @@ def test_grouped_sessions(spark):
     w = spark.createDataFrame([("a1", "a"), ("a2", "a"), ("b1", "b")], "id string, parent string")
     got = {r.parent: r.score for r in retrieval.grouped_sessions(d, l, w).collect()}
     assert abs(got["a"] - 1 / 61) < 1e-12 and abs(got["b"] - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_late_facts_go_to_quarantine(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "db"))
+    m.remember(spark.createDataFrame([("1", 10.0, "user", "Ada is director", "s", None)], MESSAGES))
+    m.remember(spark.createDataFrame([("2", 5.0, "user", "Ada is clerk", "s", None)], MESSAGES))
+    assert m.quarantine.count() + m.triples.count() == 2
+
+
+def test_a_damaged_archive_is_refused(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "db"))
+    m.remember(spark.createDataFrame([("1", 10.0, "user", "Ada uses Rust", "s", None)], MESSAGES))
+    m.retain(str(tmp_path / "arch"), before=99.0, apply=True)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / "arch"))
+    with pytest.raises(ValueError):
+        m.restore(str(tmp_path / "arch"))
+    assert m.messages.count() == 0
