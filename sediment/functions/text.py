@@ -11,7 +11,7 @@ BEFORE, AFTER, BLANK = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])", r"[\s\x0B\x1
 NAME = rf"{BEFORE}([A-Z][a-z]+(?:{BLANK}[A-Z][a-z]+)*){AFTER}"
 QUOTED = r'"([^"]+)"'
 FACT = rf"(?i){BEFORE}({WORD}(?:{BLANK}{WORD})?){BLANK}(uses?|is|was|has|prefers?|decided|switched to|moved to){BLANK}({WORD}(?:{BLANK}{WORD})?){AFTER}"
-FACT_VERB = r"(?i)\s(uses?|is|was|has|prefers?|decided|switched to|moved to)\s"
+FACT_VERB = rf"(?i){BLANK[:-1]}(?:uses?|is|was|has|prefers?|decided|switched to|moved to){BLANK[:-1]}"
 # Cues of what is worth keeping, case aside, between bounds of words; and of secrets.
 USER_GLOBAL_CUES = r"always|never|from now on|i prefer|my preference|my workflow|remember that i|remember my"
 USER_PROJECT_CUES = (
@@ -52,8 +52,8 @@ def quoted(c: Column) -> Column:
 
 
 def facts(c: Column) -> Column:
-    """Structs subject, predicate, object of a simple verb pattern."""
-    whole = F.regexp_extract_all(c, F.lit(FACT), F.lit(0))
+    """Structs subject, predicate, object of a simple verb pattern. Only texts that have one of the verbs between blanks, as every fact has, are searched for it."""
+    whole = F.regexp_extract_all(F.when(F.regexp_like(c, F.lit(FACT_VERB)), c).when(c.isNotNull(), F.lit("")), F.lit(FACT), F.lit(0))
     part = lambda x, i: F.regexp_extract(x, FACT, i)
     return F.transform(whole, lambda x: F.struct(part(x, 1).alias("subject"), F.replace(F.lower(part(x, 2)), F.lit(" "), F.lit("_")).alias("predicate"), part(x, 3).alias("object")))
 

@@ -25,18 +25,17 @@ def supersede(asserted: DataFrame, keys: Sequence[str]) -> DataFrame:
     ones of its keys with another value, at its own start; an equal value closes none. Adds ``valid_until``. Starts must not
     fall along ``seq`` (see split_by_order). Null keys form a key of their own; null values are equal to each other.
     """
-    w = Window.partitionBy(*keys).orderBy("seq")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # rows after this one are those before it in the opposite order: a frame that grows from its start is filled in one pass, one that ends at the last row is filled anew for every row
+    w, back = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("seq"), F.desc("seq")))
+    nearest = lambda c, over: F.last(c, ignorenulls=True).over(over)
     rep = F.col("replaces")
     now = F.struct("value", "valid_from")
-    nxt = F.first(F.when(rep, now), ignorenulls=True).over(after)
-    before = F.last(F.when(rep, F.struct("value")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = asserted.withColumn("_next", nxt).withColumn("_before", before)
+    df = asserted.withColumn("_before", nearest(F.when(rep, F.struct("value")), w))
     df = df.withColumn("_run", rep & (F.col("_before").isNull() | ~F.col("_before.value").eqNullSafe(F.col("value"))))
+    df = df.withColumn("_next", nearest(F.when(rep, now), back))
     # the next two runs of equal replacing values: the first may repeat this row's value, then the second closes it
-    w2 = Window.partitionBy(*keys).orderBy("seq")
-    df = df.withColumn("_r1", F.first(F.when(F.col("_run"), now), ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing)))
-    df = df.withColumn("_after1", F.first(F.when(F.col("_run"), F.struct("valid_from", "seq", "_r1")), ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing)))
+    df = df.withColumn("_r1", nearest(F.when(F.col("_run"), now), back))
+    df = df.withColumn("_after1", nearest(F.when(F.col("_run"), F.struct("valid_from", "seq", "_r1")), back))
     same = lambda c: c.eqNullSafe(F.col("value"))
     until = (
         F.when(F.col("_next").isNull(), None)

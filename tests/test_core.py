@@ -71,6 +71,27 @@ def test_texts_with_accents_against_python(spark, tmp_path):
     assert {(r.a, r.b): r.n for r in texts.cooccurrence_pairs(spark, d).collect()} == pairs
 
 
+def test_superseding_one_key_with_many_assertions(spark):
+    rng = random.Random(8)
+    rows = [("k", "p", i, rng.choice("abc"), float(i), rng.random() < 0.6) for i in range(6000)]
+    df = temporal.supersede(spark.createDataFrame(rows, "key string, predicate string, seq int, value string, valid_from double, replaces boolean"), ["key", "predicate"])
+    got, open_, want = {r.seq: r.valid_until for r in df.collect()}, [], {}
+    for r in rows:
+        if r[5]:
+            want |= {o[2]: r[4] for o in open_ if o[3] != r[3]}
+            open_ = [o for o in open_ if o[3] == r[3]]
+        open_.append(r)
+    assert got == {r[2]: want.get(r[2]) for r in rows}
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # such a frame takes the square of a key's rows
+
+
+def test_facts_are_found_between_any_blanks(spark):
+    said = ["Ada\u2003uses\u2003tea", "Ada\x0buses\x85tea", "Ada uses", "uses tea", "reuses old tea", "he SWITCHED TO tea", "", None]
+    got = [None if r.f is None else [tuple(x) for x in r.f] for r in spark.createDataFrame(list(enumerate(said)), "i int, c string").orderBy("i").select(X.facts(F.col("c")).alias("f")).collect()]
+    one = ("Ada", "uses", "tea")
+    assert got == [[one], [one], [], [], [], [("he", "switched_to", "tea")], [], None]
+
+
 def test_edit_distance(spark):
     pairs = [("abcd", "abcd"), ("abcd", "abed"), ("abcd", "acbd"), ("abcd", "abc"), ("abcd", "abxcd"), ("abcd", "axxd"), ("abcd", "badc"), ("", "a")]
     for a, b in pairs:
