@@ -253,6 +253,50 @@ def test_eigenvalues_against_a_dense_solve(spark):
         spectral._smallest(spectral._Held(adj), 3, 1e-12, 2)
 
 
+def several(spark, sizes):
+    rng = random.Random(4)
+    pairs = [(c, i, (i + 1) % n) for c, n in enumerate(sizes) for i in range(n) if n > 2 or i == 0]
+    return spectral.adjacency(spark.createDataFrame([triple(f"{c}-{i}", f"n{c}-{i}", f"n{c}-{j}", c=rng.random() + 0.1) for c, i, j in pairs], TRIPLE)).cache()
+
+
+def dense(adj):
+    rows = adj.collect()
+    nodes = sorted({r.src for r in rows})
+    m = np.zeros((len(nodes), len(nodes)))
+    for r in rows:
+        m[nodes.index(r.src), nodes.index(r.dst)] += r.w
+    s = 1 / np.sqrt(m.sum(1))
+    first = np.sqrt(m.sum(1) / m.sum())
+    values, x = np.linalg.eigh(np.eye(len(nodes)) - m * s[:, None] * s[None, :] + 3 * np.outer(first, first))  # the first vector comes last
+    return nodes, values[:-1], x[:, :-1]
+
+
+def test_many_components_need_no_iteration(spark, monkeypatch):
+    monkeypatch.setattr(spectral, "_engine", lambda *_: pytest.fail("the vectors of components are known"))
+    adj = several(spark, [9, 7, *[2] * 50])
+    nodes, values, x = dense(adj)
+    want = (x[:, values < 1e-9] ** 2).sum(1)
+    got = {r.id: r.importance for r in spectral.importance(adj, 2000).collect()}
+    assert np.abs(np.array([got[n] for n in nodes]) - want / want.max()).max() < 1e-9
+    own = {r.id: r.cluster for r in spectral.clusters(adj).collect()}
+    whole = {c: {own[n] for n in nodes if n.startswith(f"n{c}-")} for c in range(52)}
+    assert set(own) == set(nodes) and all(len(v) == 1 for v in whole.values()) and set(own.values()) == set(range(32)) and whole[0] != whole[1]
+
+
+@pytest.mark.parametrize("local_links", [1_000_000, 0])
+def test_some_components_and_what_lies_beyond(spark, local_links):
+    adj = several(spark, [5, 4])
+    nodes, values, x = dense(adj)
+    want = (x[:, :3] ** 2 / np.maximum(values[:3], 1e-10)).sum(1)
+    got = {r.id: r.importance for r in spectral.importance(adj, 200, local_links, tolerance=1e-5).collect()}
+    assert np.abs(np.array([got[n] for n in nodes]) - want / want.max()).max() < 1e-6
+    graph = spectral.Graph(adj)
+    _, _, beyond, _ = spectral._beyond(graph, 3, local_links, 1e-5, 100)
+    assert graph.n_parts == 2 and np.abs(beyond - values[1:3]).max() < 1e-6
+    own = {r.id: r.cluster for r in spectral.clusters(graph, local_links, most=2).collect()}
+    assert set(own) == set(nodes) and not {own[n] for n in nodes if n[1] == "0"} & {own[n] for n in nodes if n[1] == "1"}
+
+
 def test_consolidation_order(spark):
     e = spark.createDataFrame([("a", "Ada", 0.0, 0.9, 1), ("a2", "ada", 1.0, 0.9, 1), ("b", "Bob", 0.0, 0.9, 1), ("o", "Orphan", 0.0, 0.9, 0)], "id string, name string, created_at double, confidence double, access_count bigint")
     t = [triple(str(i), "a", v="x", c=0.04, src=f"s{i}") for i in range(3)] + [triple("e", "a2", "b"), triple("self", "a", "a2"), triple("low", "b", v="y", c=0.01)]
