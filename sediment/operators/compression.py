@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions.text import render_fact, token_estimate
 from sediment.operators import spectral
+from sediment.session import kept
 
 #: Largest budgets of the tiers, and tokens that a fact takes on average.
 TIERS, PER_FACT = ((50, "L0"), (200, "L1"), (2000, "L2")), 15
@@ -16,10 +17,15 @@ def tier(budget: int) -> str:
     return next((name for most, name in TIERS if budget <= most), "L3")
 
 
-def ranked_facts(entities: DataFrame, triples: DataFrame, budget: int) -> DataFrame:
-    """The ``budget`` // 15 most important open facts: ``pos``, ``text``, ``subject``, ``score``."""
-    t = triples.where("valid_until is null")
-    imp = spectral.importance(spectral.adjacency(triples), budget)
+def opened(triples: DataFrame) -> tuple[DataFrame, spectral.Graph]:
+    """The open facts, stored, and their graph: what all budgets have in common."""
+    t = kept(triples.where("valid_until is null").select("id", "subject_id", "predicate", "object_id", "object_value", "relation_type", "confidence", "valid_until"), "open")
+    return t, spectral.Graph(spectral.adjacency(t))
+
+
+def ranked_facts(entities: DataFrame, t: DataFrame, graph: spectral.Graph, budget: int) -> DataFrame:
+    """The ``budget`` // 15 most important open facts (see opened): ``pos``, ``text``, ``subject``, ``score``."""
+    imp = spectral.importance(graph, budget)
     names = entities.select("id", "name")
     s = imp.select(F.col("id").alias("subject_id"), F.col("importance").alias("_a"))
     o = imp.select(F.col("id").alias("object_id"), F.col("importance").alias("_b"))
@@ -35,7 +41,11 @@ def ranked_facts(entities: DataFrame, triples: DataFrame, budget: int) -> DataFr
 
 def compress(entities: DataFrame, triples: DataFrame, budget: int) -> DataFrame:
     """One row: ``tier``, ``budget``, ``text``, ``token_estimate``, ``n_lines``. Lines are taken in order of importance while the budget lasts."""
-    ranked = ranked_facts(entities, triples, budget)
+    return _compressed(entities, *opened(triples), budget)
+
+
+def _compressed(entities: DataFrame, t: DataFrame, graph: spectral.Graph, budget: int) -> DataFrame:
+    ranked = ranked_facts(entities, t, graph, budget)
     kind = tier(budget)
     line = {"L0": F.col("subject"), "L1": F.col("text")}.get(kind, F.concat(F.lit("- "), F.col("text")))
     lines = ranked.select("pos", line.alias("line")).where("line is not null")
