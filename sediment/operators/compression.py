@@ -58,8 +58,8 @@ def _compressed(entities: DataFrame, t: DataFrame, graph: spectral.Graph, budget
 
 
 def budget_report(entities: DataFrame, triples: DataFrame, budgets: tuple[int, ...] = (50, 200, 2000, 10_000)) -> DataFrame:
-    out = None
+    out, (t, graph), names = None, opened(triples), kept(entities.select("id", "name"), "names")
     for b in budgets:
-        row = compress(entities, triples, b).withColumn("preview", F.substring("text", 1, 100)).drop("text")
+        row = _compressed(names, t, graph, b).withColumn("preview", F.substring("text", 1, 100)).drop("text")
         out = row if out is None else out.unionByName(row)
     return out
