@@ -2,8 +2,8 @@
 
 A paragraph's words make shingles of five; its MinHash signature is cut into bands. Equal paragraphs are one from the start.
 Different ones that share a band's key are compared by the exact Jaccard similarity of their shingles, taken from the text:
-all of a small bucket with each other, all of a large one with its first; those unlike the first go on in smaller buckets, whose
-keys hold one more band. Links make classes by components, and of a class the first paragraph stays. ``bands`` and ``rows`` are tuned for recall: at a similarity of 0.8, eight
+all of a bucket with each other, a large one in parts, as ``n_links`` counts every link. Only pairs whose sizes rule out the similarity are spared.
+Links make classes by components, and of a class the first paragraph stays. ``bands`` and ``rows`` are tuned for recall: at a similarity of 0.8, eight
 bands of three rows meet with a probability of 1 - (1 - 0.8 ** 3) ** 8 = 0.997, equal ones always.
 """
 
@@ -105,14 +105,14 @@ def _shingled(size: int):
     return run
 
 
-def paragraph_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 8, rows: int = 3, size: int = 5, min_chars: int = 0, small: int = 32) -> DataFrame:
+def paragraph_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 8, rows: int = 3, size: int = 5, min_chars: int = 0, small: int = 512) -> DataFrame:
     """Of every paragraph its class: ``id``, ``no`` (from 0), ``from_pos``, ``to_pos``, ``first_id``, ``first_no`` (the class's first paragraph), ``n_links`` (to
     different texts) and ``stays`` (whether it is that first one).
 
     ``docs``: ``id`` (bigint, unique) and ``text``. Letter case, punctuation and white space don't count. A paragraph without words is none, nor is one of fewer than ``min_chars`` characters;
     one of fewer than five words is a shingle of its own. Null and empty texts have no paragraphs; equal texts under
     different ids are one class; texts of any length are handled; an empty input gives an empty result. Columns of other names are ignored.
-    Two similar paragraphs that only meet in buckets of more than ``small`` different texts are linked by way of their firsts, or not at all.
+    Two similar paragraphs that meet in any bucket are linked, however large it is. Buckets of more than ``small`` different texts are cut into parts, each compared with itself and each other one; results don't depend on ``small``.
     """
     docs = docs.select("id", "text").where("text is not null")
     sig = kept(docs.mapInArrow(_signatures(bands, rows, size, min_chars), "id bigint, no int, from_pos bigint, to_pos bigint, d1 bigint, d2 bigint, keys array<bigint>"))
@@ -120,31 +120,25 @@ def paragraph_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 8,
     texts = kept(sig.groupBy("d1", "d2").agg(F.min(p).alias("p"), F.min_by("keys", p).alias("keys")))  # different ones, by 128 bits
     members = texts.select(F.posexplode("keys").alias("band", "key"), "p")
     several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bucket = kept(members.join(several.select("key"), "key", "left_semi"))
+    bucket = kept(members.join(several.select("key"), "key", "left_semi").select("key", "p"))
+    # similar paragraphs share most of their buckets: of those with the same members, told by 128 bits, one is enough
+    own = bucket.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("p")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "p")).alias("y"))
+    one = cut(own.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / small).cast("int").alias("cuts")))
+    bucket = bucket.join(one, "key")
     need = bucket.select("p.*").distinct().groupBy("id").agg(F.collect_list("no").alias("nos"))  # of one record each
     sets = kept(docs.join(need, "id").mapInArrow(_shingled(size), "id bigint, no int, set array<bigint>").select(p.alias("p"), "set"))
-    links = None
-    while True:
-        heads = bucket.groupBy("key").agg(F.min("p").alias("h"), F.count("*").alias("n")).where("n > 1")
-        met = kept(bucket.join(heads, "key"))
-        if not met.take(1):
-            break
-        few = met.where(F.col("n") <= small)
-        pairs = few.select("key", "p").join(few.select("key", F.col("p").alias("h")), "key").where("h < p").select("p", "h")  # at most small / 2 for a member
-        star = met.where((F.col("n") > small) & (F.col("p") != F.col("h")))
-        asked = pairs.unionByName(star.select("p", "h")).distinct().join(sets, "p").join(sets.select(F.col("p").alias("h"), F.col("set").alias("other")), "h")
-        both = F.size(F.array_intersect("set", "other"))
-        similar = cut(asked.where(both / (F.size("set") + F.size("other") - both) >= similarity).select(F.col("p").alias("a"), F.col("h").alias("b")))
-        links = similar if links is None else cut(links.unionByName(similar).distinct())
-        # those unlike the first of a large bucket go on, with the key of one more band
-        rest = star.join(similar, (star.p == similar.a) & (star.h == similar.b), "left_anti").withColumn("band", F.pmod(F.col("band") + 1, F.lit(bands)))
-        bucket = kept(rest.select("band", "key", "p").join(texts.select("p", "keys"), "p").select("band", F.xxhash64("key", F.get("keys", F.col("band"))).alias("key"), "p"))
+    met = bucket.join(sets, "p")
+    met = met.withColumn("cut", F.pmod(F.xxhash64("p", "key"), F.col("cuts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    met = met.select("key", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), "cut", "p", "set")
+    other = met.select("key", "i", "j", F.col("cut").alias("cut_b"), F.col("p").alias("b"), F.col("set").alias("set_b"))
+    n, m = F.size("set"), F.size("set_b")
+    likely = F.least(n, m) / F.greatest(n, m) >= similarity  # what both have is at most the smaller set, what any has at least the larger
+    likeness = F.get(F.transform(F.array(F.size(F.array_intersect("set", "set_b"))), lambda x: x / (n + m - x)), 0)
+    pairs = met.join(other, ["key", "i", "j"]).where((F.col("p") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("cut") != F.col("cut_b"))))
+    links = cut(pairs.where(F.when(likely, likeness >= similarity).otherwise(False)).select(F.col("p").alias("a"), "b").distinct())
     whole = sig.join(texts.select("d1", "d2", "p"), ["d1", "d2"])
-    if links is None:
-        whole = whole.withColumn("first", F.col("p")).withColumn("n_links", F.lit(0).cast("bigint"))
-    else:
-        n = links.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n_links"))
-        label = components(links).withColumnRenamed("node", "p")
-        whole = whole.join(label, "p", "left").join(n, "p", "left").withColumn("first", F.coalesce("component", "p")).fillna(0, ["n_links"])
+    n = links.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count("*").alias("n_links"))
+    label = components(links).withColumnRenamed("node", "p")
+    whole = whole.join(label, "p", "left").join(n, "p", "left").withColumn("first", F.coalesce("component", "p")).fillna(0, ["n_links"])
     stays = (F.col("first.id") == F.col("id")) & (F.col("first.no") == F.col("no"))
     return whole.select("id", "no", "from_pos", "to_pos", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"), "n_links", stays.alias("stays"))

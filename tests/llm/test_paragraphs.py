@@ -59,3 +59,14 @@ def test_a_third_of_equal_paragraphs_and_empty(spark):
     got = paragraph_classes(frame(spark, docs)).collect()
     assert sum(r.stays for r in got) == 201 and {r.first_id for r in got if r.id % 3 == 0} == {0}
     assert paragraph_classes(frame(spark, [])).count() == 0
+
+
+def test_all_pairs_of_a_large_bucket(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    docs = [(i, " ".join([*common, *(f"{'ab'[i % 2]}{k}" for k in range(rng.randrange(8, 14))), f"e{i}"])) for i in range(90)]
+    text = dict(docs)
+    links = {(i, k) for i in text for k in text if i < k and jaccard(text[i], text[k]) >= 0.8}
+    got = {r.id: r.n_links for r in paragraph_classes(frame(spark, docs), bands=24, rows=1).collect()}
+    assert got == {i: sum(i in x for x in links) for i in text} and len(links) < 90 * 89 / 2
+    assert got == {r.id: r.n_links for r in paragraph_classes(frame(spark, docs), bands=24, rows=1, small=16).collect()}
